@@ -5,22 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, pii, probminhash, sentencepiece_codec, toxicity
+from . import ann, licenses, mixing, pii, probminhash, secrets, sentencepiece_codec, sharding, topk, toxicity
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_documents, _labels = _table("documents"), _table("labels")
+_documents, _labels, _embeddings = _table("documents"), _table("labels"), _table("embeddings")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": lambda s, d: pii.find_pii(_documents(s, d)),
     "op2_sentencepiece": lambda s, d: sentencepiece_codec.encode(_documents(s, d)),
     "op3_mixing": lambda s, d: mixing.draw(_documents(s, d)),
+    "op4_sharding": lambda s, d: sharding.shard(_documents(s, d), "doc_id", F.octet_length("text")),
+    "op5_ann": lambda s, d: ann.neighbours(_embeddings(s, d)),
+    "op6_topk": lambda s, d: topk.top_k(_embeddings(s, d)),
+    "op7_licenses": lambda s, d: licenses.find_licences(_documents(s, d), "doc_id", "text", licenses.document_path()),
     "op8_probminhash": lambda s, d: probminhash.near_duplicates(_documents(s, d)),
     "op9_toxicity": lambda s, d: toxicity.toxic_documents(_documents(s, d), _labels(s, d)),
+    "op10_secrets": lambda s, d: secrets.find_secrets(_documents(s, d)),
 }
 
-SQL: dict[str, str] = {"op3_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op3_mixing": mixing.SQL, "op4_sharding": sharding.SQL, "op6_topk": topk.SQL, "op7_licenses": licenses.SQL, "op10_secrets": secrets.SQL}
