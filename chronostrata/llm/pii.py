@@ -38,7 +38,7 @@ _GROUPED = re.compile(r"\d{4}(?:[ -]\d{4}){3}(?![\w-])")
 _RUN = re.compile(r"\d+")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _V6 = re.compile(r"[0-9A-Fa-f:]+(?:\d{1,3}(?:\.\d{1,3}){3})?")
-_USERINFO = re.compile(r"[^\s/@<>\"']{1,128}@")
+_USERINFO = re.compile(r"[^\s/@<>\[\]\"']{1,128}@")
 _STREET = re.compile(r"\d{1,5}[A-Za-z]?(?: [A-Z][\w'-]*){1,4}$")
 
 _A = ahocorasick.Automaton()
