@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from .common import fresh, materialise, slices, small
 from .words import mix, shingles, word_hashes
 
-REGISTERS, ROWS = 96, 4
+REGISTERS, ROWS = 128, 4
 #: Documents at least this similar are near duplicates.
-THRESHOLD = 0.6
+THRESHOLD = 0.5
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
