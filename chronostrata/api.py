@@ -328,8 +328,41 @@ class TimeSeries:
 
         return self._read(name, [], local, "log", limit, fromdate, todate, authors)
 
+    def first_insertion_date(self, name: str) -> pd.Timestamp | None:
+        """The first insertion date."""
+        return self._read(name, None, lambda e: self._moment(B.first_last_insertion(self._revs(e)).select("first_date").first()), "first_insertion_date")
+
+    def latest_insertion_date(self, name: str) -> pd.Timestamp | None:
+        """The last insertion date."""
+        return self._read(name, None, lambda e: self._moment(B.first_last_insertion(self._revs(e)).select("last_date").first()), "latest_insertion_date")
+
+    @staticmethod
+    def _moment(row: Any) -> pd.Timestamp | None:
+        return pd.Timestamp(row[0], tz="UTC") if row else None
+
+    def last_id(self, name: str) -> int | None:
+        """The last revision's number."""
+        return self._read(name, None, lambda e: (r := B.first_last_insertion(self._revs(e)).select("last_rev").first()) and r[0], "last_id")
+
+    def changeset_at(self, name: str, moment: datetime, mode: str = "strict") -> int | None:
+        """The earliest revision at (strict), up to (before) or from (after) a moment."""
+        return self._read(name, None, lambda e: (r := B.revision_at(self._revs(e), utc(moment), mode).first()) and r["rev"], "changeset_at", moment, mode)
+
+    def history_cache(self, name: str, **bounds: datetime | None) -> "HistoryCache | None":
+        """The series' log within value bounds, kept on the executors for several reads; None for an unknown series."""
+        return self._read(name, None, lambda e: HistoryCache(self, name, e, {k: self._bound(e, v) for k, v in bounds.items()}), "history_cache", **bounds)
+
     # metadata and search
 
+    def list_series(self) -> dict[str, str]:
+        """Kind by name of the series here."""
+        return {n: "primary" for n in sorted(self.store.state().series)}
+
+    def info(self) -> dict[str, Any]:
+        """Number and names of the series here."""
+        names = sorted(self.store.state().series)
+        return {"series count": len(names), "serie names": names}
+
     def metadata(self, name: str) -> dict[str, Any] | None:
         """The user's metadata."""
         return self._read(name, None, lambda e: dict(e["meta"]), "metadata")
@@ -497,6 +530,29 @@ class TimeSeries:
         return {("local", self.store.namespace): [(n, "primary") for n in names]} if names else {}
 
 
+class HistoryCache:
+    """Reads from one cached slice of a log. close() gives the memory up; a lost executor's part is read again."""
+
+    def __init__(self, tsa: TimeSeries, name: str, entry: dict[str, Any], bounds: dict[str, datetime | None]) -> None:
+        self._tsa, self._name, self._entry = tsa, name, entry
+        rows = tsa._log(entry).where(B.between(F.col("value_date"), bounds.get("from_value_date"), bounds.get("to_value_date")))
+        self._rows = rows.persist()
+
+    def get(self, revision_date: datetime | None = None, from_value_date: datetime | None = None, to_value_date: datetime | None = None) -> pd.Series:
+        """As TimeSeries.get."""
+        bounds = (self._tsa._bound(self._entry, x) for x in (from_value_date, to_value_date))
+        return self._tsa._series(B.state_asof(self._rows, utc(revision_date), *bounds).toPandas(), self._name, self._entry)
+
+    def staircase(self, delta: timedelta, from_value_date: datetime | None = None, to_value_date: datetime | None = None) -> pd.Series:
+        """As TimeSeries.staircase."""
+        bounds = (self._tsa._bound(self._entry, x) for x in (from_value_date, to_value_date))
+        return self._tsa._series(B.staircase(self._rows, delta, *bounds).toPandas(), self._name, self._entry)
+
+    def close(self) -> None:
+        """Gives the memory up."""
+        self._rows.unpersist()
+
+
 def replicate_series(origin: TimeSeries, target: TimeSeries, name: str, target_name: str | None = None) -> int:
     """Copies the revisions of a series that are later than the target's last, removals included, and its metadata; the number copied."""
     target_name = target_name or name

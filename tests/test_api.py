@@ -48,6 +48,12 @@ def test_life_of_a_series(tsa, spark):
     assert [d.day for d in tsa.history("s", from_value_date=D(3))] == [1, 3]
     assert tsa.interval("s") == pd.Interval(pd.Timestamp("2024-01-03", tz="UTC"), pd.Timestamp("2024-01-04", tz="UTC"), closed="both")
     assert plain(tsa.staircase("s", timedelta(days=1))) == {4: 4.0}
+    assert tsa.first_insertion_date("s").day == 1 and tsa.latest_insertion_date("s").day == 4 and tsa.last_id("s") == 3
+    assert tsa.changeset_at("s", D(3)) == 2 and tsa.changeset_at("s", D(3), "before") == 1 and tsa.changeset_at("s", D(2), "after") == 2 and tsa.changeset_at("s", D(2)) is None
+    cache = tsa.history_cache("s", from_value_date=D(2))
+    assert plain(cache.get(D(2))) == {2: 1.0, 4: 3.0} and plain(cache.staircase(timedelta(days=1))) == {4: 4.0}
+    cache.close()
+    assert "s" in tsa.list_series() and tsa.info()["series count"] >= 1 and tsa.history_cache("none") is None
     tsa.strip("s", D(3))
     assert plain(tsa.get("s")) == {2: 1.0, 4: 3.0}
     tsa.strip("s", D(1))
