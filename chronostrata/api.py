@@ -370,9 +370,14 @@ class TimeSeries:
     def internal_metadata(self, name: str) -> dict[str, Any] | None:
         """What the store knows of the series."""
         kinds = {"float64": "<f8", "object": "|O"}
-        local = lambda e: {"tzaware": e["tzaware"], "tablename": str(e["id"]), "index_type": "datetime64[ns, UTC]" if e["tzaware"] else "datetime64[ns]", "index_dtype": "<M8[ns]", "value_type": e["value_type"], "value_dtype": kinds[e["value_type"]]}
+        local = lambda e: {"tzaware": e["tzaware"], "tablename": str(e["id"]), "index_type": "datetime64[ns, UTC]" if e["tzaware"] else "datetime64[ns]", "index_dtype": "<M8[ns]", "value_type": e["value_type"], "value_dtype": kinds[e["value_type"]], **e.get("imeta", {})}
         return self._read(name, None, local, "internal_metadata")
 
+    def update_internal_metadata(self, name: str, metadata: dict[str, Any]) -> None:
+        """Merges into what the store knows of the series."""
+        self._forbid(name, "update metadata of")
+        self.store.commit([{"kind": "set", "name": name, "entry": {"imeta": {**self._entry(name).get("imeta", {}), **metadata}}}])
+
     def replace_metadata(self, name: str, metadata: dict[str, Any]) -> None:
         """Sets the metadata."""
         self._forbid(name, "replace metadata of")

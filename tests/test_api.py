@@ -102,7 +102,8 @@ def test_search_and_metadata(tsa):
     assert tsa.list_baskets() == []
     tsa.rename("t", "u")
     assert plain(tsa.get("u")) == {2: "c", 4: "d"} and tsa.get("t") is None
-    assert tsa.internal_metadata("u")["value_type"] == "object"
+    tsa.update_internal_metadata("u", {"formula": "x"})
+    assert tsa.internal_metadata("u")["value_type"] == "object" and tsa.internal_metadata("u")["formula"] == "x"
 
 
 def test_federation_and_replication(tsa, spark, tmp_path):
