@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Rows up to which a side of a join may be broadcast (about 16 bytes a row); beyond it the join shuffles.
 BROADCAST_ROWS = 4_000_000
 #: Bytes of text that a Python worker handles at a time, so that its memory doesn't depend on the Arrow batch.
-CHUNK_CHARS = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def fresh(df: DataFrame, *stems: str) -> list[str]:
@@ -52,7 +52,17 @@ def materialise(df: DataFrame, stem: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{stem}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what materialise() wrote, when nothing that is still to be computed reads it."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -60,7 +70,7 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: int, most: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that have about `most` bytes of text each; a longer text is a slice by itself."""
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

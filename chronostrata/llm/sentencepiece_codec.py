@@ -20,6 +20,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -35,8 +36,10 @@ from .common import slices
 #: The model; its path is a parameter of every function.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words, and parts of words, whose ids a worker remembers, and the longest of them.
+#: Parts of words whose ids a worker remembers (more only if a slice of texts has more), and characters up to which many are encoded together.
 KEPT, LONGEST = 250_000, 48
+#: Characters of the automaton for many parts; pairs that are remembered.
+DENSE, PAIRS = 191, 1 << 21
 #: Characters that may be split off words, if the model allows it.
 OFTEN = "\n\t.,;:!?|*#$%&\"()[]{}<>=+~^/\\"
 
@@ -120,13 +123,117 @@ class Codec:
                 self.automaton.add_word(p, r)
         self.automaton.make_automaton()
         self.ok: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.runs: dict[int, bytes] = {}
         letter = re.compile(r"[^\W\d_]")
         near = {x for p in words for a, b in zip(p, p[1:]) for x, y in ((a, b), (b, a)) if letter.match(y)}
         off = re.escape("".join(x for x in OFTEN if x not in near))
-        self.cut = re.compile(rf"(?<=[^\W\d_])(?=[{off}])|(?<=[{off}])(?=[^\W\d_])") if off else None
-        self.runs: dict[int, list[int]] = {}
+        some = r"(?:[^\W\d_]++" + (f"|[{off}]++" if off else "") + ")?+"
+        self.split = re.compile(rf"{MARK}?+{some}(?:(?:(?![{off}{MARK}])[\W\d_])++{some})*+").findall
+        self._automaton(words)
+
+    def _automaton(self, words: list[str]) -> None:
+        """The automaton of the pieces that consist of the DENSE most frequent characters, as arrays, for many parts at a time."""
+        often = Counter(x for p in words for x in set(p)).most_common(DENSE)
+        self.symbol = np.zeros(0x110000, np.uint8)
+        for k, (x, _) in enumerate(often):
+            self.symbol[ord(x)] = k + 1
+        width = DENSE + 1
+        children: list[dict[int, int]] = [{}]
+        token = [-1]
+        for p, r in ((p, r) for r, p in enumerate(words) if p in self.automaton):
+            path = self.symbol[[ord(x) for x in p]].tolist()
+            if 0 in path:
+                continue
+            node = 0
+            for x in path:
+                if x not in children[node]:
+                    children[node][x] = len(children)
+                    children.append({})
+                    token.append(-1)
+                node = children[node][x]
+            token[node] = r
+        n = len(children)
+        self.delta = np.zeros((n, width), np.int32)
+        self.found = np.full(n, -1, np.int32)  # the longest piece that ends in a state, else the one that its suffix link leads to
+        self.next = np.full(n, -1, np.int32)  # state of the next shorter piece
+        fail, level = [0] * n, [0]
+        hit = [-1] * n  # the nearest state on the suffix path, itself included, that is a piece
+        while level:
+            below = []
+            for node in level:
+                f = fail[node]
+                if node:
+                    self.delta[node] = self.delta[f]
+                    hit[node] = node if token[node] >= 0 else hit[f]
+                    self.next[node] = hit[f]
+                for x, child in children[node].items():
+                    fail[child] = int(self.delta[f, x]) if node else 0
+                    below.append(child)
+                for x, child in children[node].items():
+                    self.delta[node, x] = child
+            level = below
+        self.found = np.array(hit, np.int32)
+        self.token = np.array(token, np.int32)
+        self.delta = self.delta.reshape(-1)
+        self.size = np.array(self.length, np.int32)
+        self.ids = np.array(self.rank_id, np.int32)
+        self.seen = np.full(PAIRS, -1, np.int64)
+        self.fit = np.zeros(PAIRS, bool)
+
+    def _all_fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """_fits() of many pairs; a table of fixed size remembers pairs, later ones in the place of earlier ones."""
+        key = a.astype(np.int64) << 20 | b
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIRS.bit_length() + 1)).astype(np.int64)
+        out = self.fit[slot]
+        new = np.flatnonzero(self.seen[slot] != key)
+        if len(new):
+            keys, back = np.unique(key[new], return_inverse=True)
+            ok = np.array([self._fits(k >> 20, k & 0xFFFFF) for k in keys.tolist()], bool)
+            out[new] = ok[back]
+            self.fit[slot[new]], self.seen[slot[new]] = ok[back], key[new]
+        return out
+
+    def tables(self, parts: list[str]) -> list[bytes]:
+        """table() of many parts of the DENSE characters, as 32-bit integers: all prefix tables grow together."""
+        n = np.array([len(p) for p in parts])
+        order = np.argsort(-n, kind="stable")
+        n = n[order]
+        text = self.symbol[np.frombuffer("".join([parts[i] for i in order.tolist()]).encode("utf-32-le"), np.uint32)]
+        start = np.cumsum(n) - n
+        most = int(n[0])
+        last = np.full((len(parts), most + 1), -1, np.int32)
+        state = np.zeros(len(parts), np.int32)
+        alive = np.searchsorted(-n, -np.arange(most), "left")  # parts longer than k
+        for k in range(most):
+            live = int(alive[k])
+            state = self.delta[state[:live] * np.int32(DENSE + 1) + text[start[:live] + k]]
+            row = np.arange(live)
+            at = self.found[state]
+            while len(row):
+                r = self.token[at]
+                lo = k + 1 - self.size[r]
+                before = last[row, lo]
+                ok = before < 0
+                test = np.flatnonzero(~ok)
+                ok[test] = self._all_fit(before[test], r[test])
+                last[row[ok], k + 1] = r[ok]
+                row, at = row[~ok], self.next[at[~ok]]
+        got, pos, row, count = [], n.copy(), np.arange(len(parts)), np.zeros(len(parts), np.int64)
+        while len(row):
+            r = last[row, pos[row]]
+            got.append((row, r))
+            count[row] += 1
+            pos[row] -= self.size[r]
+            row = row[pos[row] > 0]
+        ends = np.cumsum(count)
+        flat = np.zeros(int(ends[-1]), np.int32)
+        for k, (row, r) in enumerate(got):
+            flat[ends[row] - 1 - k] = self.ids[r]
+        raw, out = flat.tobytes(), [b""] * len(parts)
+        for i, lo, hi in zip(order.tolist(), ((ends - count) * 4).tolist(), (ends * 4).tolist()):
+            out[i] = raw[lo:hi]
+        return out
 
     def _merge(self, p: str, r: int, rank: dict[str, int]) -> list[int]:
         """The tokens that p has when merges of a lower rank than r are done."""
@@ -195,7 +302,7 @@ class Codec:
         ids.reverse()
         return ids
 
-    def _run(self, n: int) -> list[int]:
+    def _run(self, n: int) -> bytes:
         """Ids of n marks in a row that no word has taken."""
         if n not in self.runs:
             size = [1] * n
@@ -220,54 +327,62 @@ class Codec:
                 offer(a)
             if len(self.runs) > 4096:
                 self.runs.clear()
-            self.runs[n] = [self.id[MARK * k] for k in size if k]
+            self.runs[n] = np.array([self.id[MARK * k] for k in size if k], np.int32).tobytes()
         return self.runs[n]
 
-    def packed(self, word: str) -> bytes:
-        """Ids of the word mark and a word that has no mark, as 32-bit integers; remembered if the word is not long."""
-        text, got = MARK + word, []
-        for part in self.cut.split(text) if self.cut else (text,):
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = np.array(self.table(part), np.int32).tobytes()
-                if len(part) <= LONGEST:
-                    if len(self.parts) >= KEPT:
-                        self.parts.clear()
-                    self.parts[part] = ids
-            got.append(ids)
-        out = b"".join(got)
-        if len(word) <= LONGEST:
-            if len(self.words) >= KEPT:
-                self.words.clear()
-            self.words[word] = out
-        return out
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as 32-bit integers."""
-        if not text:
-            return b""
-        words = text.replace(MARK, " ").split(" ")
-        get = self.words.get
-        parts = [get(w) or self.packed(w) for w in words]
+    def learn(self, parts: set[str]) -> None:
+        """Remembers the ids of parts of words."""
+        if len(self.parts) + len(parts) > KEPT:
+            self.parts.clear()
+        dense, rest = [], []
+        for p in parts:
+            (dense if len(p) <= LONGEST else rest).append(p)
+        if dense:
+            odd = np.add.reduceat(self.symbol[np.frombuffer("".join(dense).encode("utf-32-le", "surrogatepass"), np.uint32)] == 0, np.cumsum([0, *map(len, dense[:-1])]))
+            rest += [p for p, x in zip(dense, odd.tolist()) if x]
+            dense = [p for p, x in zip(dense, odd.tolist()) if not x]
+        if dense:
+            self.parts.update(zip(dense, self.tables(dense)))
+        for p in rest:
+            self.parts[p] = np.array(self.table(p), np.int32).tobytes()
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes | None]:
+        """The ids of each text as 32-bit integers; null for null."""
+        split = [None if t is None else self.split(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        known = self.parts
+        new = {p for parts in split if parts for p in parts if p not in known}
+        if len(known) + len(new) > KEPT:
+            new = {p for parts in split if parts for p in parts}
+        self.learn(new)
+        return [None if parts is None else self._joined(parts) for parts in split]
+
+    def _joined(self, parts: list[str]) -> bytes:
+        if parts and not parts[-1]:  # the pattern matches once more at the end
+            parts.pop()
+        got = [*map(self.parts.__getitem__, parts)]
+        if MARK not in parts:
+            return b"".join(got)
+        # marks that no word has taken merge in runs, also with one that stays alone at the start of a word
         alone = struct.pack("<i", self.mark)
-        # a mark by itself starts a word only where a run may reach it
-        if "" not in words:
-            return b"".join(parts)
         out, run = [], 0
-        for p in parts:
-            if p == alone:
+        for part, ids in zip(parts, got):
+            if part == MARK:
                 run += 1
                 continue
+            if run and part[0] == MARK and ids.startswith(alone):
+                run, ids = run + 1, ids[4:]
             if run:
-                if p.startswith(alone):
-                    run, p = run + 1, p[4:]
-                out.append(np.array(self._run(run), np.int32).tobytes())
+                out.append(self._run(run))
                 run = 0
-            out.append(p)
+            out.append(ids)
         if run:
-            out.append(np.array(self._run(run), np.int32).tobytes())
+            out.append(self._run(run))
         return b"".join(out)
 
+    def encode(self, text: str) -> bytes:
+        """encode_all() of one text."""
+        return self.encode_all([text])[0]
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
         raw = b"".join(map(self.raw.__getitem__, ids))
@@ -285,7 +400,7 @@ def codec(path: str = MODEL) -> Codec:
 
 
 def _ids(c: Codec, texts: list[str | None]) -> pa.Array:
-    parts = [None if t is None else c.encode(t) for t in texts]
+    parts = c.encode_all(texts)
     ends = np.cumsum([0, *(len(p) // 4 if p else 0 for p in parts)]).astype(np.int32)
     flat = pa.array(np.frombuffer(b"".join(p for p in parts if p), np.int32))
     return pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([p is None for p in parts]))
@@ -300,7 +415,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         for batch in slices(batches, 1):
             texts = batch.column(1).to_pylist()
             ids = _ids(c, texts)
-            flat, ends = ids.values.to_pylist(), ids.offsets.to_pylist()
+            flat, ends = ids.values.to_numpy().tolist(), ids.offsets.to_numpy().tolist()
             same = [None if t is None else c.decode(flat[lo:hi]) == t.replace(MARK, " ") for t, lo, hi in zip(texts, ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pc.list_value_length(ids), pa.array(same, pa.bool_())], [id_col, *names])
 
