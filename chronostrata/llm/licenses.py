@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 CUT = 0.55
 CUE = r"(?i)licen[sc]e|copyright|spdx|public domain"
 FILES = r"(?i)(^|/)(licen[sc]e|copying|copyright|notice|unlicense)([.-][A-Za-z0-9.-]*)?$"
@@ -99,10 +101,11 @@ def find_licences(docs: DataFrame, id_col: str, text_col: str, path: Column) ->
     """(doc_id, path, licence, cosine, how, from_dir) for each row that has a licence; how: header, file or inherited."""
     text = F.col(text_col).cast("string")
     base = docs.select(F.col(id_col).alias("doc_id"), path.cast("string").alias("path"), text.alias("text"))
-    found = headers(base, ["doc_id", "path"], F.col("text"))
+    # few texts have headers: written once, so that the texts are read once
+    found = materialise(headers(base, ["doc_id", "path"], F.col("text")), "headers")
     matched = found.join(classify(found), "header")
     order = Window.partitionBy("doc_id", "path").orderBy(F.desc("cosine"), "licence")
-    own = matched.select("doc_id", "path", "licence", "cosine").withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
+    own = materialise(matched.select("doc_id", "path", "licence", "cosine").withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth"), "own")
     is_file = F.coalesce(F.col("path").rlike(FILES), F.lit(False))
     of_dir = Window.partitionBy("dir").orderBy(F.desc("cosine"), "licence", "path")
     dirs = own.where(is_file).withColumn("dir", _ancestors(F.col("path"))[0]).withColumn("nth", F.row_number().over(of_dir)).where("nth = 1").select("dir", F.col("licence").alias("d_licence"), F.col("cosine").alias("d_cosine"))
