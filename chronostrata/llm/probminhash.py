@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, slices, small
+from .common import discard, fresh, materialise, slices, small
 from .words import mix, shingles, word_hashes
 
 REGISTERS, ROWS = 128, 4
@@ -189,7 +189,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         met = large.join(low, "a")
         smaller = met.select("a", F.col("m").alias("b")).unionByName(met.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        edges = materialise(smaller, "edges")
+        before, edges = edges, materialise(smaller, "edges")
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
@@ -214,6 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = base.join(wanted, "id", "left_semi")
     pairs = buckets.join(texts, "id").groupBy("bucket", "tie").applyInArrow(_verify(threshold), "a bigint, b bigint")
     linked = components(exact.unionByName(pairs))
+    discard(sketched, one, buckets)
     grouped = linked.select(F.col("a").alias("doc_id"), F.col("b").alias("keep_id"))
     sizes = grouped.groupBy("keep_id").agg((F.count("*") + 1).alias("group_size"))
     return grouped.unionByName(sizes.select(F.col("keep_id").alias("doc_id"), "keep_id")).join(sizes, "keep_id").select("doc_id", "keep_id", "group_size")
