@@ -15,18 +15,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, slices
+from .common import fresh, slices, trim
 from .words import pair, word_hashes
 
 #: The most labelled documents that the classifier is fitted on.
 SAMPLE = 16_000
-BITS = 22
+BITS = 30
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 2.0, 1.0, 6.0, 0.01
 
 
@@ -48,9 +47,32 @@ def distinct(x: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both & 0xFFFFFFFF, both >> 32
 
 
-def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Non-zero weights (buckets, weights) and the bias, from (distinct buckets, 0 or 1) in the order given."""
-    z, n = np.zeros(1 << bits), np.zeros(1 << bits)
+def fit(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Non-zero weights (buckets, weights) and the bias, from (distinct buckets, 0 or 1) in the order given.
+
+    A gradient is below 1 and a weight is zero until the sum of gradients passes L1: buckets of too few
+    rows to get there are left out before, which changes nothing.
+    """
+    none = np.zeros(0, np.int32), np.zeros(0, np.float32)
+    y_all = [y for _, y in rows]
+    if len(set(y_all)) < 2:
+        return *none, 0.0
+    few, mask = int(L1 // epochs), (1 << 22) - 1
+    seen = np.zeros(mask + 1, np.int64)
+    for lo in range(0, len(rows), 1000):
+        seen += np.bincount(np.concatenate([x for x, _ in rows[lo : lo + 1000]]) & mask, minlength=mask + 1)
+    flat = np.sort(np.concatenate([x[seen[x & mask] > few] for x, _ in rows]))
+    first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.zeros(0, np.int64)
+    names = flat[first][np.diff(first, append=len(flat)) > few]
+    del flat, first
+    if not len(names):
+        return *none, 0.0
+    own = []
+    for x, _ in rows:
+        x = x[seen[x & mask] > few]
+        at = np.minimum(np.searchsorted(names, x), len(names) - 1)
+        own.append(at[names[at] == x].astype(np.int32))
+    z, n = np.zeros(len(names)), np.zeros(len(names))
     bz = bn = 0.0
 
     def bias() -> float:
@@ -59,8 +81,8 @@ def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EPOC
     def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
         return np.where(np.abs(zi) > L1, (np.sign(zi) * L1 - zi) / ((BETA + np.sqrt(ni)) / ALPHA + L2), 0.0)
 
-    for _ in range(epochs if len({y for _, y in rows}) > 1 else 0):
-        for x, y in rows:
+    for _ in range(epochs):
+        for x, y in zip(own, y_all):
             zi, ni, b = z[x], n[x], bias()
             w = weights(zi, ni)
             g = 1 / (1 + np.exp(-np.clip(w.sum() + b, -35, 35))) - y
@@ -70,11 +92,11 @@ def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EPOC
             bz += g - ((bn + g * g) ** 0.5 - bn**0.5) / ALPHA * b
             bn += g * g
     on = np.flatnonzero(np.abs(z) > L1)
-    return on.astype(np.int32), weights(z[on], n[on]).astype(np.float32), bias()
+    return names[on].astype(np.int32), weights(z[on], n[on]).astype(np.float32), bias()
 
 
 def choose_cut(rows: list[tuple[np.ndarray, int]]) -> float:
-    """The cut with the best F1 on the last fifth of the rows, for a model of the others; the middle of equally good ones.
+    """The cut with the best F1 on the last fifth of the rows, for a model of the others; the highest of equally good ones, as the model of all rows tells more surely.
 
     Without both labels in both parts: 0.5, or 1 (nothing is toxic) where no row is toxic.
     """
@@ -87,8 +109,7 @@ def choose_cut(rows: list[tuple[np.ndarray, int]]) -> float:
     y = np.array([y for _, y in rows[at:]])
     cuts = np.arange(0.1, 0.91, 0.05)
     f1 = np.array([2 * (y & (p > c)).sum() / (y.sum() + (p > c).sum()) for c in cuts])
-    best = cuts[f1 >= f1.max() - 1e-9]
-    return float(round(best[len(best) // 2], 2))
+    return float(round(cuts[f1 >= f1.max() - 1e-9][-1], 2))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float, float]:
@@ -105,18 +126,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = [x[lo:hi].astype(np.int32).tobytes() for lo, hi in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(x, pa.binary())], ["at", "id", "y", "x"])
 
-    def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, rows = None, []
-        for f in frames:
-            for i, label, x in zip(f["id"], f["y"], f["x"]):
+        for batch in batches:
+            x = batch.column(3).cast(pa.binary())
+            ends = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1]
+            data = np.frombuffer(x.buffers()[2] or b"", np.uint8)
+            for i, label, lo, hi in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
                 if i != seen:  # of repeated rows of an id one counts
-                    rows.append((np.frombuffer(x, np.int32), int(label > 0)))
+                    rows.append((data[lo:hi].view(np.int32), int(label > 0)))
                 seen = i
         on, w, b = fit(rows)
-        yield pd.DataFrame({"on": [on.tobytes()], "w": [w.tobytes()], "b": [float(b)], "cut": [choose_cut(rows)]})
+        yield pa.RecordBatch.from_pydict({"on": [on.tobytes()], "w": [w.tobytes()], "b": [float(b)], "cut": [choose_cut(rows)]})
+        del rows
+        trim()
 
     hashed_rows = rows.mapInArrow(hashed, "at bigint, id bigint, y int, x binary")
-    got = hashed_rows.repartition(1).sortWithinPartitions("at", "id", "y", "x").mapInPandas(learn, "on binary, w binary, b double, cut double").first()
+    got = hashed_rows.repartition(1).sortWithinPartitions("at", "id", "y", "x").mapInArrow(learn, "on binary, w binary, b double, cut double").first()
     if got is None:
         return np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0, 1.0
     return np.frombuffer(got["on"], np.int32), np.frombuffer(got["w"], np.float32), got["b"], got["cut"]
@@ -125,16 +151,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 class Scorer:
     """Scores of texts by a model; made on each executor from the broadcast weights."""
 
-    def __init__(self, model: tuple[np.ndarray, np.ndarray, float, float], bits: int = BITS) -> None:
+    def __init__(self, model: tuple[np.ndarray, np.ndarray, float, float]) -> None:
         self.on, self.w, self.b, _ = model
-        self.hit = np.zeros(1 << bits, bool)
-        self.hit[self.on] = True
+        self.hit = np.zeros(1 << 20, bool)  # whether a weight has these last bits
+        self.hit[self.on & 0xFFFFF] = True
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
+        if not len(self.on):
+            return np.full(len(texts), 1 / (1 + np.exp(-self.b)))
         x, d = features(texts)
-        on = np.flatnonzero(self.hit[x])
-        x, d = distinct(x[on], d[on])
-        total = np.bincount(d, self.w[np.searchsorted(self.on, x)].astype(np.float64), len(texts)) + self.b
+        may = np.flatnonzero(self.hit[x & 0xFFFFF])
+        x, d = distinct(x[may], d[may])
+        at = np.minimum(np.searchsorted(self.on, x), len(self.on) - 1)
+        total = np.bincount(d, np.where(self.on[at] == x, self.w[at], 0.0).astype(np.float64), len(texts)) + self.b
         return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
 
