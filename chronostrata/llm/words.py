@@ -19,7 +19,7 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BASE = 0x2545F4914F6CDD1D
 _POWERS: dict[str, np.ndarray] = {}
 #: Bytes that are hashed at a time.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
