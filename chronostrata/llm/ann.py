@@ -4,8 +4,10 @@ Unit vectors are assigned to the nearest of about sqrt(n) / 4 coarse centroids.
 into SUBSPACES parts, each coded by the nearest of CODES codewords. Centroids and codewords are fitted by
 Lloyd's algorithm over all vectors: each round adds up partial sums on the cluster, and only the sums come
 to the driver. Every row is a query and probes the PROBES nearest share of the lists. In a list, asymmetric
-distances (tables of the query's residual to all codewords) choose a shortlist for each query, which is
-reranked by exact cosines where the vectors lie; the lists' results of a query are then merged.
+distances (tables of the query's residual to all codewords) choose a shortlist for each query. Its k-th exact
+cosine and the quantisation errors tell which other vectors of the list could be as near; all of them are
+reranked by exact cosines where the vectors lie, so that a probed list loses nothing, however long or dense it
+is. The lists' results of a query are then merged.
 
 Rounding, ties, rows that are left out and a row being no neighbour of itself: as in exact search (topk).
 Queries of a list are spread over several tasks where they are many.
@@ -24,11 +26,13 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .topk import DIGITS, K, best, matrix, unit, vectors
 
-#: Share of the lists that a query probes, and vectors of a list that are reranked for it.
+#: Share of the lists that a query probes, and vectors of a list whose cosines tell which others to rerank.
 PROBES, SHORTLIST = 0.75, 40
 SUBSPACES, CODES, ROUNDS = 16, 256, 5
 #: Queries that a task holds for a list, and that it merges.
 QUERIES, TILE = 50_000, 512
+#: More than the rounding of a squared asymmetric distance.
+SLACK = 1e-4
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -69,21 +73,40 @@ def _lloyd(df: DataFrame, centres: np.ndarray, parts: Callable[[np.ndarray], np.
 
 
 def search_list(q: np.ndarray, q_row: np.ndarray, x: np.ndarray, ids: np.ndarray, row: np.ndarray, codes: np.ndarray, centre: np.ndarray, books: np.ndarray, k: int, shortlist: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of a list's vectors for each query: cosines and ids, -inf where there are fewer."""
+    """The k best of a list's vectors for each query: cosines and ids, -inf where there are fewer.
+
+    Exact: a vector lies within its residual's quantisation error of what its codes stand for, so that only
+    those whose asymmetric distance less that error is within reach of the shortlist's k-th cosine can be better.
+    """
     scores, found = [], []
-    k_list = min(k, len(x))
     most = min(len(x), max(shortlist, k) + 1)
+    error = np.sqrt(sum(((r - books[j][codes[:, j]]) ** 2).sum(axis=1) for j, r in enumerate(split(x - centre, len(books)))))
     for lo in range(0, len(q), TILE):
-        part = q[lo : lo + TILE]
+        part, mine = q[lo : lo + TILE], q_row[lo : lo + TILE, None]
         far = np.zeros((len(part), len(x)), np.float32)
         for j, r in enumerate(split(part - centre, len(books))):
             far += nearest(r, books[j]).astype(np.float32)[:, codes[:, j]]
-        at = np.argpartition(far, most - 1, axis=1)[:, :most] if most < len(x) else np.broadcast_to(np.arange(len(x)), far.shape)
-        s = np.round(np.einsum("qd,qsd->qs", part, x[at]), DIGITS)
-        s[q_row[lo : lo + TILE, None] == row[at]] = -np.inf
-        s, i = best(s, ids[at], k_list)
-        scores.append(np.pad(s, ((0, 0), (0, k - k_list)), constant_values=-np.inf))
-        found.append(np.pad(i, ((0, 0), (0, k - k_list)), constant_values=-1))
+        if most < len(x):
+            at = np.argpartition(far, most - 1, axis=1)[:, :most]
+            s = np.round(np.einsum("qd,qsd->qs", part, x[at]), DIGITS)
+            s[mine == row[at]] = -np.inf
+            edge = np.partition(s, most - k, axis=1)[:, most - k]
+            # the furthest that a cosine equal to the k-th, once rounded, can be
+            reach = np.sqrt(np.maximum(2.0 - 2.0 * (edge - 10.0**-DIGITS), 0.0))
+            far += ((part - centre) ** 2).sum(axis=1, keepdims=True)
+            able = np.sqrt(np.maximum(far - SLACK, 0.0)) - error <= reach[:, None]
+        else:
+            able = np.ones(far.shape, bool)
+        columns = np.flatnonzero(able.any(axis=0))
+        s, i = np.full((len(part), k), -np.inf), np.full((len(part), k), -1)
+        for first in range(0, len(columns), 2 * TILE):
+            at = columns[first : first + 2 * TILE]
+            near = np.round(part @ x[at].T, DIGITS)
+            near[~able[:, at] | (mine == row[at])] = -np.inf
+            near, near_id = best(near, ids[None, at], k)
+            s, i = best(np.concatenate([s, near], 1), np.concatenate([i, near_id], 1), k)
+        scores.append(s)
+        found.append(i)
     return np.concatenate(scores), np.concatenate(found)
 
 

@@ -83,3 +83,36 @@ def test_odd_rows(spark, search):
     assert [r[1:3] for r in rows if r[0] == 10] == [(1, 11), (2, 11), (3, 12)]
     assert search(spark.createDataFrame([], SCHEMA)).count() == 0
     assert search(df.where("vec_id = 12")).count() == 0
+
+
+def crowded(kind):
+    rng = np.random.default_rng(3)
+    if kind == "clusters":
+        c = rng.normal(size=(20, 32))
+        return c[rng.integers(0, 20, 3000)] + rng.normal(size=(3000, 32)) * 0.2
+    x = rng.normal(size=(1500, 32))
+    x[:600] = x[0]
+    return x
+
+
+@pytest.mark.parametrize("kind", ["clusters", "copies"])
+def test_recall_where_many_are_near(spark, kind):
+    x = crowded(kind).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0, 0.0) for i, v in enumerate(x)], SCHEMA)
+    got, want = lists(A.neighbours(df)), brute(df)
+    recall = np.mean([len({j for j, _ in got[i]} & {j for j, _ in want[i]}) / 10 for i in want])
+    assert recall >= 0.99, recall
+
+
+@pytest.mark.parametrize("kind", ["clusters", "copies"])
+def test_a_probed_list_loses_nothing(kind):
+    x = T.unit(crowded(kind).astype(float))
+    rng = np.random.default_rng(4)
+    centre, ids = x.mean(axis=0), rng.permutation(len(x)) * 7
+    books = A.split((x - centre)[rng.integers(0, len(x), 16)], 4)
+    codes = np.stack([A.nearest(r, books[j]).argmin(axis=1) for j, r in enumerate(A.split(x - centre, 4))], 1).astype(np.uint8)
+    s, i = A.search_list(x, np.arange(len(x)), x, ids, np.arange(len(x)), codes, centre, books, 10, A.SHORTLIST)
+    want = np.round(x @ x.T, T.DIGITS)
+    np.fill_diagonal(want, -np.inf)
+    want_s, want_i = T.best(want, ids[None], 10)
+    assert np.array_equal(i, want_i) and np.allclose(s, want_s, atol=2e-6)
