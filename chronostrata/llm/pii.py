@@ -3,7 +3,8 @@
 One pass of an Aho-Corasick automaton finds anchors: at-signs, schemes, plus signs, digits, double colons
 and cues that name an identifier or a street. At each anchor a deterministic parser expands to both sides
 and validates what it finds: e-mail addresses, network and street addresses, telephone, card, bank and
-other account numbers. Findings don't overlap; the one that begins first wins.
+other account numbers. A cue holds up to the end of its sentence or paragraph: what follows it with a digit
+is parsed as an identifier of its kind. Findings don't overlap; the one that begins first wins.
 
 Null and empty texts have no findings. Whole texts are read. Rows without an id are left out of
 find_pii(), redact() treats them like others. Repeated rows give repeated findings. Extra columns are
@@ -28,6 +29,8 @@ from .common import slices
 #: Characters before a number in which a cue makes an account of it.
 NEAR = 24
 CUES = ("account", "acct", "iban", "card", "passport", "ssn", "social security", "konto", "compte", "cuenta", "customer no", "policy no", "tax id")
+#: What a cue announces, where it isn't an account.
+KINDS = {"iban": "iban", "card": "card", "passport": "passport", "ssn": "ssn", "social security": "ssn", "tax id": "tax_id"}
 STREETS = (" Street", " Avenue", " Road", " Boulevard", " Lane", " Drive", " Square")
 _LOCAL = frozenset("._%+-'")
 _PHONE = re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\w)")
@@ -40,9 +43,16 @@ _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\
 _V6 = re.compile(r"[0-9A-Fa-f:]+(?:\d{1,3}(?:\.\d{1,3}){3})?")
 _USERINFO = re.compile(r"[^\s/@<>\[\]\"']{1,128}@")
 _STREET = re.compile(r"\d{1,5}[A-Za-z]?(?: [A-Z][\w'-]*){1,4}$")
+_END = re.compile(r"(?<!\b(?i:no))(?<!\b(?i:nr))(?<!\b(?i:num))[.!?]\s+(?=[^\W\d_a-z])|\n\s*\n")
+#: Between a cue and a short number that is its identifier.
+_BETWEEN = re.compile(r"(?>[\W_]|account|acct|bank|card|client|code|credit|customer|debit|holder|iban|ids|id|is|konto|kunde|numbers|number|nummer|num[eé]ro|n[uú]mero|num|nr|no|of|our|ref|es|her|his|my|the|their|was|your|s)*+", re.IGNORECASE)
+#: Groups of letters and digits, each with a digit but for letters before the first.
+_IDENTIFIER = re.compile(r"[A-Za-z0-9]{1,34}(?:[ -][A-Za-z]{0,4}\d[A-Za-z0-9]{0,33}){0,12}(?![\w])")
+_BANK = re.compile(r"[A-Za-z]{2}\d{2}(?:[ -]?[A-Za-z0-9]{4}){2,7}(?:[ -]?[A-Za-z0-9]{1,3})?(?!\w)")
+_DATE = re.compile(r"(?:(?:19|20)\d\d[ -]\d{1,2}[ -]\d{1,2}|\d{1,2}[ -]\d{1,2}[ -](?:19|20)\d\d)(?![\w-])")
 
 _A = ahocorasick.Automaton()
-for _cue, _kind in [("@", "@"), ("://", "s"), ("tel:", "t"), ("+", "+"), ("::", ":"), *((str(d), "d") for d in range(10)), *((s, "r") for s in STREETS)]:
+for _cue, _kind in [("@", "@"), ("://", "s"), ("tel:", "t"), ("+", "+"), ("::", ":"), *((str(d), "d") for d in range(10)), *((s.lower(), "r") for s in STREETS), *((c, "c" + KINDS.get(c, "account")) for c in CUES)]:
     _A.add_word(_cue, (_kind, len(_cue)))
 _A.make_automaton()
 
@@ -136,19 +146,94 @@ def _number(text: str, at: int) -> Span | None:
     return None
 
 
+def _of_kind(kind: str, value: str, close: bool) -> str | None:
+    """The kind of an identifier that follows a cue of a kind, if it is one. close: only connecting words lie between them."""
+    plain = re.sub("[ -]", "", value)
+    n = sum(c.isdigit() for c in plain)
+    if kind == "passport" and 6 <= len(plain) <= 10 and n >= (2 if close else 4):
+        return kind
+    if kind == "ssn" and plain.isdigit() and 9 <= n <= 15:
+        return kind
+    if kind == "tax_id" and 8 <= len(plain) <= 15 and n >= 7:
+        return kind
+    if kind == "card" and plain.isdigit() and 13 <= n <= 19 and luhn(plain):
+        return kind
+    if n >= 6 and len(plain) <= 34 and close or plain.isdigit() and 8 <= n <= 19:
+        return "account"
+    return None
+
+
+def _cued(text: str, at: int, least: int, cues: dict[str, int]) -> Span | None:
+    """The identifier around a digit, for the cues of its sentence (kind -> end), the nearest first. least: where it may begin."""
+    lo, least = at, max(least, at - 34, *cues.values())
+    while lo > least and (text[lo - 1].isascii() and text[lo - 1].isalnum() or text[lo - 1] == "-"):
+        lo -= 1
+    while lo < at and text[lo] == "-":
+        lo += 1
+    if lo >= 4 and text[lo - 1] == " " and text[lo - 3 : lo - 1].isupper() and not text[lo - 4].isalnum() and lo - 3 >= least:
+        starts = (lo - 3, lo)  # two letters that stand before the digits
+    else:
+        starts = (lo,)
+    for kind, end in reversed(cues.items()):
+        for lo in starts:
+            before = text[lo - 1] if lo else " "
+            if before in "$€£¥" or before in ".,/" and lo > 1 and text[lo - 2].isdigit() or before.isalnum() and lo not in cues.values() or _DATE.match(text, lo):
+                continue
+            close = _BETWEEN.fullmatch(text, end, lo) is not None if lo - end <= 64 else False
+            if kind == "iban" and (m := _BANK.match(text, lo)):
+                hi = m.end()
+                while hi > lo + 14 and not _mod97(re.sub("[ -]", "", text[lo:hi]).upper()):
+                    hi = max(text.rfind(" ", lo, hi), text.rfind("-", lo, hi))
+                if hi > lo + 14:
+                    return ("iban", lo, hi)
+            if lo < starts[-1]:
+                m = re.compile(r"[A-Z]{2} \d[A-Za-z0-9]{0,33}(?:[ -]\d[A-Za-z0-9]{0,33}){0,12}(?!\w)").match(text, lo)
+            else:
+                m = _IDENTIFIER.match(text, lo)
+            hi = m.end() if m else lo
+            while hi > at:
+                if not (text[hi : hi + 1] in (".", ",", "/") and text[hi + 1 : hi + 2].isdigit() or text[hi : hi + 1] == "%"):
+                    found = _of_kind(kind, text[lo:hi], close)
+                    if found:
+                        return (found, lo, hi)
+                hi = max(text.rfind(" ", lo, hi), text.rfind("-", lo, hi))
+    return None
+
+
+def lowered(text: str) -> str:
+    """The text in lower case, character by character where that would change its length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def spans(text: str | None) -> list[Span]:
     """(kind, start, end) of the findings in a text, in order."""
     out: list[Span] = []
     if not text:
         return out
-    done = skip = 0
-    for end, (kind, n) in _A.iter(text):
+    done = skip = seen = 0
+    cues: dict[str, int] = {}
+    for end, (kind, n) in _A.iter(lowered(text)):
         at = end - n + 1
-        if at < done or at < skip:
+        if kind[0] == "c":
+            if not (at and text[at - 1].isalpha()):
+                if cues and _END.search(text, seen, at):
+                    cues.clear()
+                cues.pop(kind[1:], None)
+                cues[kind[1:]], seen = end + 1, end + 1
+            continue
+        if at < done or at < skip or kind in "rt" and not text.startswith(STREETS if kind == "r" else "tel:", at):
             continue
         found: Span | None = None
         if kind == "d":
             found = _number(text, at)
+            if cues and at > seen:
+                if _END.search(text, seen, at):
+                    cues.clear()
+                seen = at
+            if cues and (not found or found[0] == "account"):
+                cued = _cued(text, at, done, cues)
+                found = cued if cued and (not found or cued[2] >= found[2]) else found
             if not found:
                 skip = _RUN.match(text, at).end()
         elif kind == "@":

@@ -65,3 +65,18 @@ def test_queries(spark, odd, none):
             assert got[i]["redacted"] == out[i]["text"] and got[i]["n_found"] == len(got[i]["spans"])
     assert P.redact(odd).columns == odd.columns and P.redact(odd).count() == odd.count()
     assert P.find_pii(odd).count() == 0 and P.find_pii(none).count() == 0 and P.redact(none).count() == 0
+
+
+def test_cues_are_anchors():
+    for text, kind, value in [
+        ("passport C01X00T47", "passport", "C01X00T47"), ("Passport no.: AB 1234567, valid", "passport", "AB 1234567"), ("tax id 12-3456789", "tax_id", "12-3456789"),
+        ("account 1234567", "account", "1234567"), ("account no. 12-3456-78", "account", "12-3456-78"), ("card 3782 822463 10005.", "card", "3782 822463 10005"),
+        ("iban de89 3704 0044 0532 0130 00", "iban", "de89 3704 0044 0532 0130 00"), ("IBAN DE89-3704-0044-0532-0130-00", "iban", "DE89-3704-0044-0532-0130-00"),
+        ("social security 123 45 6789", "ssn", "123 45 6789"), ("policy no. PN-123456", "account", "PN-123456"), ("İ account_id=1234567", "account", "1234567"),
+        ("the account that was opened by all of them together has 12345678 on it", "account", "12345678"),
+        ("her passport, that the office in the capital issued, is C01X00T47", "passport", "C01X00T47"),
+    ]:
+        assert [(k, text[a:b]) for k, a, b in P.spans(text)] == [(kind, value)], text
+    for text in ("passport 2024-01-05", "on account of 12 things", "account balance 1,234,567.00", "the account is closed. In all 1234567 came", "discard 1234567", "a card game of 1984", "the account\n\n12345 of 1234567", "account for some 1500000 people"):
+        assert P.spans(text) == [], text
+    assert P.spans("card " * 200_000 + "12") == []
