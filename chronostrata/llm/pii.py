@@ -80,13 +80,22 @@ def _email(text: str, at: int) -> Span | None:
     hi = at + 1
     while hi < len(text) and hi - at <= 254 and (text[hi].isalnum() or text[hi] in ".-"):
         hi += 1
-    domain = text[at + 1 : hi].rstrip(".-")
-    labels = domain.split(".")
     if not 0 < at - lo <= 64 or ".." in text[lo:at] or text[at - 1] == ".":
         return None
-    if len(labels) < 2 or any(not x or x[0] == "-" or x[-1] == "-" or len(x) > 63 for x in labels) or not labels[-1].isalpha() or len(labels[-1]) < 2:
+    labels = []
+    for x in text[at + 1 : hi].split("."):
+        label = x.rstrip("-")
+        if not label or label[0] == "-" or len(label) > 63:
+            break
+        labels.append(label)
+        if label != x:
+            break
+    # the longest valid domain: what follows it isn't part of the address
+    while labels and (not labels[-1].isalpha() or len(labels[-1]) < 2):
+        labels.pop()
+    if len(labels) < 2:
         return None
-    return ("email", lo, at + 1 + len(domain))
+    return ("email", lo, at + 1 + len(".".join(labels)))
 
 
 def _v6(text: str, at: int) -> Span | None:

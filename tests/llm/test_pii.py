@@ -80,3 +80,10 @@ def test_cues_are_anchors():
     for text in ("passport 2024-01-05", "on account of 12 things", "account balance 1,234,567.00", "the account is closed. In all 1234567 came", "discard 1234567", "a card game of 1984", "the account\n\n12345 of 1234567", "account for some 1500000 people"):
         assert P.spans(text) == [], text
     assert P.spans("card " * 200_000 + "12") == []
+
+
+def test_an_address_ends_with_the_longest_valid_domain():
+    for text, value in [("joe@example.com...and", "joe@example.com"), ("joe@example.com.2 more", "joe@example.com"), ("joe@mail.example.com-.x", "joe@mail.example.com"), ("joe@example.co.uk.1.2", "joe@example.co.uk")]:
+        assert [(k, text[a:b]) for k, a, b in P.spans(text)] == [("email", value)], text
+    for text in ("joe@example..com", "joe@example.1", "joe@-example.com", "joe@example.c"):
+        assert P.spans(text) == [], text
