@@ -27,13 +27,21 @@ from pyspark.sql import functions as F
 COPIED = 3
 #: Distinct characters below which a value is a placeholder.
 VARIED = 8
-#: kind -> pattern with the value as its first group. The syntax is what Java and RE2 have in common.
-PATTERNS = {
+#: kind -> pattern with the value as its first group, as in SQL. The syntax is what Java and RE2 have in common.
+SQL_PATTERNS = {
     "assigned": r"""(?i)\b(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|auth[_-]?key)["']?[ \t]*(?:=|:|:=|=>)[ \t]*["']?([A-Za-z0-9+/_.=-]{16,256})""",
     "access_key": r"\b((?:AKIA|ASIA)[0-9A-Z]{16})\b",
     "platform_token": r"\b((?:ghp|gho|ghs|ghr)_[A-Za-z0-9]{36})\b",
     "private_key": r"(-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END)",
 }
+#: A name may begin and go on with other words. A value is whole: between quotes, else up to a space, quote,
+#: bracket or separator, and isn't a call. Shorter values than VARIED are placeholders, so that they aren't taken.
+_NAME = r"""(?i)(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|auth[_-]?key)[A-Za-z0-9_-]*+\\?["']?\]?[ \t]*+(?>=>|:=|={1,3}|:)[ \t]*+"""
+#: In quotes, a reference such as ${NAME} isn't a value.
+_REFERENCE = r"""(?!\$?\{++[^{}\r\n"']*+\}++["']|\$\([^()\r\n"']*+\)["']|<[^<>\r\n"']*+>["'])"""
+_QUOTED = "|".join(rf"""(?<=(?<!\\){q}){_REFERENCE}(?!(?:[^{q}\\\r\n]|\\.){{0,{VARIED - 1}}}{q})[^\r\n]{{{VARIED},}}?(?={q})(?<!(?<!\\)\\)""" for q in "\"'")
+_BARE = rf"""[^\s"'`,;&|<>(){{}}\[\]\\=:][^\s"'`,;&|<>(){{}}\[\]\\]{{{VARIED - 1},}}+(?![(\[{{])"""
+PATTERNS = SQL_PATTERNS | {"assigned": rf"""{_NAME}\\?["']?({_QUOTED}|{_BARE})"""}
 PLACEHOLDER = r"(?i)example|changeme|placeholder|dummy|your[_-]|xxxx|1234567|abcdef0"
 
 
@@ -66,9 +74,9 @@ def _sql_pattern(p: str) -> str:
     return p.replace("'", "''")
 
 
-#: find_secrets() with its defaults, for DuckDB.
+#: find_secrets() with its defaults, for DuckDB, with the patterns that RE2 can run: the driver's tables hold no other forms.
 SQL = f"""
-WITH c AS ({" UNION ALL ".join(f"SELECT doc_id, source, lang, '{k}' AS kind, unnest(regexp_extract_all(text, '{_sql_pattern(p)}', 1)) AS value FROM documents" for k, p in PATTERNS.items())}
+WITH c AS ({" UNION ALL ".join(f"SELECT doc_id, source, lang, '{k}' AS kind, unnest(regexp_extract_all(text, '{_sql_pattern(p)}', 1)) AS value FROM documents" for k, p in SQL_PATTERNS.items())}
 ), o AS (
     SELECT kind, value, count(*) AS n_total,
         count(DISTINCT coalesce('s' || source, 'n')) AS n_owners,

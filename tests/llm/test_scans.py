@@ -46,3 +46,22 @@ def test_ownership_tells_examples_from_live_secrets(spark):
 
 def test_secrets_of_odd_rows(odd, none):
     assert X.find_secrets(odd).count() == 0 and X.find_secrets(none).count() == 0
+
+
+def test_secrets_of_longer_names_whole_values_and_other_characters(spark):
+    v = "a1b2c3d4e5f60718293a4b5c6d7e8f90"
+    long = "eyJhbGciOiJSUzI1NiJ9." + "Ab3_" * 100
+    rows = [f"{n}={v}" for n in ("GITHUB_TOKEN", "DB_PASSWORD", "client_secret", "aws_secret_access_key", "auth_token", "SECRET_KEY", "token_v2")]
+    rows += [f'{{"auth_token": "{long}1"}}', f"token={long}2", 'password = "p@ss w0rd!#$%"', "DB_PASSWORD=hunter2!", "api_key: 'it\\'s-S3cret'", r'{\"token\": \"' + v + r'\"}', "config['secret'] = '" + v + "'"]
+    wanted = [v] * 7 + [long + "1", long + "2", "p@ss w0rd!#$%", "hunter2!", "it\\'s-S3cret", v, v]
+    rows += ['password = "${DB_PASSWORD}"', "token = get_the_token(x)", 'token = "short"', "tokens are secret: no", 'secret = "<your value>"', 'token=""', "token = " + '"', 'password = "short" and "more of it"']
+    df = spark.createDataFrame([(i, t, "o", "r") for i, t in enumerate(rows)], "doc_id int, text string, source string, lang string")
+    got = {r["doc_id"]: r["value"] for r in X.candidates(df, "doc_id", "text", "source", "lang").collect()}
+    assert got == dict(enumerate(wanted))
+
+
+def test_tokens_of_one_beginning_are_told_apart(spark):
+    begin = "eyJhbGciOiJSUzI1NiJ9" * 20
+    df = spark.createDataFrame([(i, f"token={begin}.{i}", f"o{i}", "r") for i in range(4)], "doc_id int, text string, source string, lang string")
+    got = X.find_secrets(df).collect()
+    assert len({r["secret_hash"] for r in got}) == 4 and {r["verdict"] for r in got} == {"live"}
