@@ -1,7 +1,9 @@
 """Licences of texts: TF-IDF cosine to templates, and inheritance from the nearest ancestor directory.
 
-Headers are the paragraphs (lines) of a text that have a cue such as "licen" or "copyright". Each becomes a
-sparse vector of its words, TF weighted by the words' IDF over all headers of the corpus and the templates;
+Headers are the lines of a text that have a cue such as "licen" or "copyright", and, without the marks of
+comments, whole paragraphs (up to an empty line) that share a rarer word with a template, and licence files as a
+whole. Each becomes a sparse vector of its words, TF weighted by the words' IDF over all lines with a cue and
+the templates;
 its licence is the template of the highest cosine, if that is CUT at least (ties: the first by name). A row
 whose header matches has that licence by its own header. Licence files (LICENSE, COPYING, NOTICE and the
 like) give the licence of their best header to their directory; a row without one of its own inherits from
@@ -14,6 +16,8 @@ Repeated rows give repeated results. Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +26,10 @@ from .common import materialise
 CUT = 0.55
 CUE = r"(?i)licen[sc]e|copyright|spdx|public domain"
 FILES = r"(?i)(^|/)(licen[sc]e|copying|copyright|notice|unlicense)([.-][A-Za-z0-9.-]*)?$"
-#: Words up to which a header is read as one; a longer paragraph is a header too, whole.
+#: What begins a line of a comment.
+MARKS = r"(?m)^[ \t]*(?:#+|//+|/?\*+/?|--+|;+|%+|<!--+|\{-)?[ \t\r]*"
+#: Words that say nothing of a licence ("mit" is German, too, and no template has it alone); a text that shares only these with a template isn't compared with it.
+COMMON = frozenset("a all also an and any are as at be been below but by can do following for found from has have if in is it law may mit more must not of on one only or other out see subject terms that the their this to under up use using v we who whom with without work you your".split())
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
@@ -52,10 +59,17 @@ TEMPLATES = [
 ]
 
 
+RARE = r"(?i)\b(?:" + "|".join(sorted({w for _, t in TEMPLATES for w in re.findall("[a-z]{2,}", t.lower())} - COMMON)) + r")\b"
+
+
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]+|[0-9]+(?:\.[0-9]+)*"), F.lit(0))
 
 
+def _digest(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
 def _ancestors(path: Column) -> Column:
     """The directories above a path, the nearest first, the root as ''."""
     parts = F.split(F.regexp_replace(path, r"/+", "/"), "/")
@@ -67,15 +81,17 @@ def _templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(TEMPLATES)], "t int, licence string, header string")
 
 
-def headers(docs: DataFrame, id_cols: list[str], text: Column) -> DataFrame:
-    """id_cols, place and header of each header of a text. The cue is looked for first, so that other texts cost one scan."""
-    lines = F.split(text, "\n")
-    found = F.filter(F.transform(lines, lambda x, k: F.struct(k.alias("place"), x.alias("header"))), lambda x: x["header"].rlike(CUE))
-    return docs.where(text.rlike(CUE)).select(*id_cols, F.explode(found).alias("h")).select(*id_cols, "h.place", "h.header")
+def headers(docs: DataFrame, id_cols: list[str], text: Column, path: Column) -> DataFrame:
+    """id_cols, place, header and block (a paragraph or file, not a line) of each header of a text. Words are looked for first, so that other texts cost one scan."""
+    of = lambda parts, block, pattern: F.filter(F.transform(parts, lambda x, k: F.struct(k.alias("place"), x.alias("header"), F.lit(block).alias("block"))), lambda x: x["header"].rlike(pattern))
+    paragraphs = F.split(F.regexp_replace(text, MARKS, ""), r"\n\s*\n")
+    whole = F.when(F.coalesce(path.rlike(FILES), F.lit(False)), F.array(text)).otherwise(F.array().cast("array<string>"))
+    found = F.concat(of(F.split(text, "\n"), False, CUE), of(F.concat(paragraphs, whole), True, RARE))
+    return docs.where(text.rlike(CUE) | text.rlike(RARE)).select(*id_cols, F.explode(found).alias("h")).select(*id_cols, "h.place", "h.header", "h.block")
 
 
-def classify(found: DataFrame, key: str = "header") -> DataFrame:
-    """(header, licence, cosine) for each distinct header that matches a template."""
+def classify(found: DataFrame, key: str = "header", blocks: DataFrame | None = None) -> DataFrame:
+    """(header, licence, cosine) for each distinct header that matches a template. blocks: more headers, that don't count for the IDF and are told by digests."""
     spark = found.sparkSession
     templates = _templates(spark)
     distinct = found.groupBy(key).agg(F.count("*").alias("times")).withColumnRenamed(key, "header")
@@ -85,7 +101,13 @@ def classify(found: DataFrame, key: str = "header") -> DataFrame:
     df = terms.select("word", "times").unionByName(t_terms.select("word", F.lit(1).cast("bigint").alias("times"))).groupBy("word").agg(F.sum("times").alias("df"))
     n = distinct.select("times").unionByName(templates.select(F.lit(1).cast("bigint").alias("times"))).agg(F.sum("times").alias("n"))
     idf = df.crossJoin(n).select("word", (F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    vectors = terms.join(idf, "word").withColumn("x", F.col("tf") * F.col("idf"))
+    if blocks is not None:
+        # told by a digest: a row for each word would hold the whole text
+        more = blocks.select(_digest(F.col(key)).alias("header"), _words(F.col(key)).alias("words")).dropDuplicates(["header"])
+        more = more.select("header", F.lit(0).cast("bigint").alias("times"), F.explode("words").alias("word")).groupBy("header", "times", "word").agg(F.count("*").alias("tf"))
+        terms = terms.unionByName(more)
+    # words that only blocks have: a document frequency of 0
+    vectors = terms.join(idf, "word", "left").crossJoin(F.broadcast(n)).withColumn("x", F.col("tf") * F.coalesce("idf", F.log(F.col("n") + 1.0) + 1.0)).drop("n")
     t_vectors = t_terms.join(idf, "word").withColumn("y", F.col("tf") * F.col("idf"))
     norms = vectors.groupBy("header").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     t_norms = t_vectors.groupBy("t").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("t_norm"))
@@ -102,8 +124,9 @@ def find_licences(docs: DataFrame, id_col: str, text_col: str, path: Column) ->
     text = F.col(text_col).cast("string")
     base = docs.select(F.col(id_col).alias("doc_id"), path.cast("string").alias("path"), text.alias("text"))
     # few texts have headers: written once, so that the texts are read once
-    found = materialise(headers(base, ["doc_id", "path"], F.col("text")), "headers")
-    matched = found.join(classify(found), "header")
+    found = materialise(headers(base, ["doc_id", "path"], F.col("text"), F.col("path")), "headers")
+    told = found.withColumn("header", F.when(F.col("block"), _digest(F.col("header"))).otherwise(F.col("header")))
+    matched = told.join(classify(found.where("NOT block"), blocks=found.where("block")), "header")
     order = Window.partitionBy("doc_id", "path").orderBy(F.desc("cosine"), "licence")
     own = materialise(matched.select("doc_id", "path", "licence", "cosine").withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth"), "own")
     is_file = F.coalesce(F.col("path").rlike(FILES), F.lit(False))

@@ -1,3 +1,5 @@
+import textwrap
+
 from pyspark.sql import functions as F
 
 from chronostrata.llm import licenses as L
@@ -65,3 +67,16 @@ def test_tokens_of_one_beginning_are_told_apart(spark):
     df = spark.createDataFrame([(i, f"token={begin}.{i}", f"o{i}", "r") for i in range(4)], "doc_id int, text string, source string, lang string")
     got = X.find_secrets(df).collect()
     assert len({r["secret_hash"] for r in got}) == 4 and {r["verdict"] for r in got} == {"live"}
+
+
+def test_every_template_is_found_wrapped_and_as_a_file(spark):
+    rows = []
+    for k, (_, t) in enumerate(L.TEMPLATES):
+        lines = textwrap.wrap(t, 40)
+        rows += [(3 * k, f"a{k}/x.py", "# " + "\n# ".join(lines) + "\n\ncode = 1"), (3 * k + 1, f"f{k}/LICENSE", "\n".join(lines)), (3 * k + 2, f"f{k}/deep/y.py", "code")]
+    rows.append((1000, "bsd/LICENSE", "Copyright (c) 2015, Jane Doe. All rights reserved.\n\n" + "\n".join(textwrap.wrap(L.TEMPLATES[14][1] + ":", 60)) + "\n\n1. Redistributions of source code must retain this notice"))
+    rows.append((1001, "bsd/z.py", "code"))
+    df = spark.createDataFrame(rows, "doc_id bigint, path string, text string")
+    got = {r["doc_id"]: (r["licence"], r["how"]) for r in L.find_licences(df, "doc_id", "text", F.col("path")).collect()}
+    want = {3 * k + i: (n, how) for k, (n, _) in enumerate(L.TEMPLATES) for i, how in enumerate(("header", "file", "inherited"))}
+    assert got == want | {1000: ("BSD-3-Clause", "file"), 1001: ("BSD-3-Clause", "inherited")}
