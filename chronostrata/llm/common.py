@@ -13,9 +13,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side of a join may be broadcast (about 16 bytes a row); beyond it the join shuffles.
-BROADCAST_ROWS = 4_000_000
+#: Bytes up to which a side of a join may be broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 64_000_000
 #: Bytes of text that a Python worker handles at a time, so that its memory doesn't depend on the Arrow batch.
 CHUNK_BYTES = 1_000_000
 
@@ -67,9 +68,18 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has no more rows than the limit; else as it is, for a shuffled join."""
-    return F.broadcast(df) if rows <= limit else df
+def _width(kind: T.DataType) -> int:
+    """About the bytes of a value."""
+    if isinstance(kind, T.StructType):
+        return sum(_width(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return 16 * _width(kind.elementType)
+    return 48 if isinstance(kind, (T.StringType, T.BinaryType)) else 16
+
+
+def small(df: DataFrame, rows: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its counted rows take no more bytes than the limit; else as it is, for a shuffled join."""
+    return F.broadcast(df) if rows * max(16, _width(df.schema)) <= limit else df
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
