@@ -3,7 +3,7 @@
 One pass of an Aho-Corasick automaton finds anchors: at-signs, schemes, plus signs, digits, double colons
 and cues that name an identifier or a street. At each anchor a deterministic parser expands to both sides
 and validates what it finds: e-mail addresses, network and street addresses, telephone, card, bank and
-other account numbers. A cue holds up to the end of its sentence or paragraph: what follows it with a digit
+other account numbers; sixteen digits are an account number without a check digit, but for moments of a log. A cue holds up to the end of its sentence or paragraph: what follows it with a digit
 is parsed as an identifier of its kind. Findings don't overlap; the one that begins first wins.
 
 Null and empty texts have no findings. Whole texts are read. Rows without an id are left out of
@@ -26,8 +26,6 @@ from pyspark.sql import types as T
 
 from .common import slices
 
-#: Characters before a number in which a cue makes an account of it.
-NEAR = 24
 CUES = ("account", "acct", "iban", "card", "passport", "ssn", "social security", "konto", "compte", "cuenta", "customer no", "policy no", "tax id")
 #: What a cue announces, where it isn't an account.
 KINDS = {"iban": "iban", "card": "card", "passport": "passport", "ssn": "ssn", "social security": "ssn", "tax id": "tax_id"}
@@ -41,7 +39,9 @@ _GROUPED = re.compile(r"\d{4}(?:[ -]\d{4}){3}(?![\w-])")
 _RUN = re.compile(r"\d+")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _V6 = re.compile(r"[0-9A-Fa-f:]+(?:\d{1,3}(?:\.\d{1,3}){3})?")
-_USERINFO = re.compile(r"[^\s/@<>\[\]\"']{1,128}@")
+_USERINFO = re.compile(r"[^\s/@<>\[\]\"']+@")
+#: Sixteen digits that are a moment of a log, to a hundredth of a second.
+_MOMENT = re.compile(r"(?:19|20)\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])(?:[01]\d|2[0-3])[0-5]\d[0-5]\d\d\d")
 _STREET = re.compile(r"\d{1,5}[A-Za-z]?(?: [A-Z][\w'-]*){1,4}$")
 _END = re.compile(r"(?<!\b(?i:no))(?<!\b(?i:nr))(?<!\b(?i:num))[.!?]\s+(?=[^\W\d_a-z])|\n\s*\n")
 #: Between a cue and a short number that is its identifier.
@@ -103,7 +103,7 @@ def _v6(text: str, at: int) -> Span | None:
     while lo and at - lo < 40 and text[lo - 1] in "0123456789abcdefABCDEF:":
         lo -= 1
     m = _V6.match(text, lo)
-    if not m or m.end() - lo < 4 or lo and text[lo - 1].isalnum() or text[m.end() : m.end() + 1].isalnum():
+    if not m or m.end() - lo < 4 or not any(c.isdigit() for c in m.group()) or lo and text[lo - 1].isalnum() or text[m.end() : m.end() + 1].isalnum():
         return None
     try:
         ipaddress.IPv6Address(m.group().rstrip(":") if not m.group().endswith("::") else m.group())
@@ -148,9 +148,7 @@ def _number(text: str, at: int) -> Span | None:
         return None
     if 13 <= n <= 19 and luhn(text[at:run]):
         return ("card", at, run)
-    if n == 16:
-        return ("account", at, run)
-    if 8 <= n <= 19 and any(c in text[max(0, at - NEAR) : at].lower() for c in CUES):
+    if n == 16 and not _MOMENT.fullmatch(text, at, run):
         return ("account", at, run)
     return None
 
@@ -221,6 +219,7 @@ def spans(text: str | None) -> list[Span]:
     if not text:
         return out
     done = skip = seen = 0
+    host = -1
     cues: dict[str, int] = {}
     for end, (kind, n) in _A.iter(lowered(text)):
         at = end - n + 1
@@ -246,15 +245,18 @@ def spans(text: str | None) -> list[Span]:
             if not found:
                 skip = _RUN.match(text, at).end()
         elif kind == "@":
-            found = _email(text, at)
+            # what stands before the host of an URL isn't an address
+            found = _email(text, at) if at != host else None
         elif kind == "+":
             m = _PHONE.match(text, at)
             if m and 8 <= sum(c.isdigit() for c in m.group()) <= 15 and not (at and text[at - 1].isalnum()):
                 found = ("phone", at, m.end())
         elif kind == "s":
             m = _USERINFO.match(text, end + 1)
-            if m:
+            # a short name alone is that of an address
+            if m and (m.end() - end - 2 >= 8 or ":" in m.group()):
                 found = ("credentials", end + 1, m.end() - 1)
+                host = m.end() - 1
         elif kind == "t":
             m = re.compile(r"[+\d][\d().-]{6,19}").match(text, end + 1)
             if m:
@@ -311,9 +313,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs, every row and column, with findings replaced in the text; a length column follows the changed texts."""
+    """docs, every row and column, with findings replaced in the text; a length column of whole numbers follows the changed texts, another is kept."""
     at = docs.columns.index(text_col)
-    size = docs.columns.index(length_col) if length_col in docs.columns else None
+    size = docs.columns.index(length_col) if length_col in docs.columns and isinstance(docs.schema[length_col].dataType, T.IntegralType) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, at):

@@ -1,3 +1,8 @@
+import random
+import re
+
+import pytest
+
 from chronostrata.llm import pii as P
 
 FOUND = {
@@ -87,3 +92,71 @@ def test_an_address_ends_with_the_longest_valid_domain():
         assert [(k, text[a:b]) for k, a, b in P.spans(text)] == [("email", value)], text
     for text in ("joe@example..com", "joe@example.1", "joe@-example.com", "joe@example.c"):
         assert P.spans(text) == [], text
+
+
+def test_credentials_of_any_length_come_before_addresses():
+    for value in ("user:pw", "oauth2:" + "x" * 180, "a:" + "y" * 5000, "ghp_abcdefgh"):
+        for host in ("host.com", "localhost", "10.0.0.1"):
+            text = f"see https://{value}@{host}/x now"
+            found = [(k, text[a:b]) for k, a, b in P.spans(text)]
+            assert found[0] == ("credentials", value) and all(k != "email" for k, _ in found), text[:60]
+    assert [(k, "ssh://git@mail.example.com/x"[a:b]) for k, a, b in P.spans("ssh://git@mail.example.com/x")] == [("email", "git@mail.example.com")]
+
+
+def test_what_is_no_identifier():
+    for text in ("discard 12345678", "at 2024010112345678 log id", "face::add", "dead::beef()", "scorecard: 12345678", "konto", "cards 12"):
+        assert P.spans(text) == [], text
+
+
+def test_cues_with_letters_and_groups():
+    for text, value in [("Passport No: X1234567", "X1234567"), ("customer no. K-998877", "K-998877"), ("acct AB12345678", "AB12345678"), ("account: 1234 5678 9012", "1234 5678 9012"), ("compte 12-345-678", "12-345-678")]:
+        assert [text[a:b] for _, a, b in P.spans(text)] == [value], text
+
+
+def naive(text):
+    """E-mail and network addresses and social security numbers by trying every substring, merging those that meet."""
+    label = r"[^\W_](?:[^\W_]|-)*"
+    email = re.compile(rf"(?![.'%+-])(?:[^\W_]|[._%+'-]){{1,64}}@{label}(?:\.{label})*\.[^\W\d_]{{2,}}")
+    found = []
+    for i in range(len(text)):
+        for j in range(len(text), i, -1):
+            s, before, after = text[i:j], text[:i], text[j:]
+            local, _, domain = s.partition("@")
+            ok = email.fullmatch(s) and ".." not in local and local[-1] != "." and not any(x.endswith("-") for x in domain.split("."))
+            # the local part is all that may belong to it, the domain ends with a label
+            ok = ok and len(local) == len(re.search(r"[\w.%+'-]*$", before + local)[0].lstrip(".'%+-")) and not re.match(r"-*[^\W_]", after)
+            if ok and not any(email.fullmatch(text[i:k]) and not re.match(r"-*[^\W_]", text[k:]) and not any(x.endswith("-") for x in text[i:k].partition("@")[2].split(".")) for k in range(j + 1, len(text) + 1)):
+                found.append(("email", i, j))
+            if re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", s) and all(int(x) < 256 for x in s.split(".")) and not re.search(r"[\w.]$", before) and not re.match(r"\w|\.\d", after):
+                found.append(("ip", i, j))
+            if re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", s) and not re.search(r"[\w-]$", before) and not re.match(r"[\w-]", after):
+                found.append(("ssn", i, j))
+    out = []
+    for k, lo, hi in sorted(found, key=lambda x: (x[1], -x[2])):
+        if out and lo < out[-1][2]:
+            if k == "email":
+                out[-1] = ("email", out[-1][1], max(hi, out[-1][2]))
+        else:
+            out.append((k, lo, hi))
+    return out
+
+
+@pytest.mark.parametrize("alphabet", ["ab1.@ ", "a@..b c", "ab@._-' ", "123.. 4", "123-- 45"])
+def test_random_texts_against_every_substring(alphabet):
+    rng = random.Random(alphabet)
+    hits = 0
+    for _ in range(1500):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(5, 24)))
+        if "@" in alphabet:
+            text += rng.choice(["a@b.cc", "", "@ab.ab", ".a@b-", "b@a.bb.ab"]) + "".join(rng.choice(alphabet) for _ in range(3))
+        if "--" in alphabet or ".. 4" in alphabet:
+            text += rng.choice([" 123-45-6789", " 12.34.5.6", "", "-", " 223-00-1234"]) + rng.choice(["", ".", " x", "-", "1"])
+        got = [x for x in P.spans(text) if x[0] in ("email", "ip", "ssn")]
+        assert got == naive(text), text
+        hits += bool(got)
+    assert hits > 20
+
+
+def test_lengths_that_are_no_whole_numbers_are_kept(spark):
+    df = spark.createDataFrame([("a", "write to joe@mail.example.com", "x")], "doc_id string, text string, n_chars string")
+    assert [tuple(r) for r in P.redact(df).collect()] == [("a", "write to [EMAIL]", "x")] and [r["doc_id"] for r in P.find_pii(df).collect()] == ["a"]
