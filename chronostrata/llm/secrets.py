@@ -28,6 +28,8 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Owners from which on a value counts as a copied example.
 COPIED = 3
 #: Distinct characters below which a value is a placeholder.
@@ -57,8 +59,8 @@ PLACEHOLDER = r"(?i)example|changeme|placeholder|dummy|your[_-]|xxxx|1234567|abc
 def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str) -> DataFrame:
     """(doc_id, owner, repo, kind, value) for each occurrence; kind is a number of KINDS."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), F.col(text_col).cast("string").alias("text"))
-    low = F.lower("text")
-    base = base.where(functools.reduce(Column.__or__, (F.contains(low, F.lit(x)) for x in HINTS)))
+    # a lambda's argument is computed once, a column in an alternative again and again
+    base = base.where(F.exists(F.array(F.lower("text")), lambda low: functools.reduce(Column.__or__, (F.contains(low, F.lit(x)) for x in HINTS))))
 
     def of(k: int) -> Column:
         values = F.regexp_extract_all("text", F.lit(PATTERNS[KINDS[k]]), F.lit(1))
@@ -74,6 +76,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # every place of a value of known shape is found by that pattern, so that the most of a kind is the number of places
     by_kind = found.groupBy("doc_id", "owner", "repo", "h", "kind").agg(F.count("*").alias("n"), F.first("p").alias("p"))
     by_doc = by_kind.groupBy("doc_id", "owner", "repo", "h").agg(F.max("n").alias("n"), F.min("kind").alias("kind"), F.first("p").alias("p"))
+    by_doc = materialise(by_doc, "secrets")  # few rows, and the texts are read once
     by_repo = by_doc.groupBy("h", "owner", "repo").agg(F.sum("n").alias("n"), F.first("p").alias("p"))
     # a repository is told by its owner too; nulls are values like others in a grouping
     by_owner = by_repo.groupBy("h", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"), F.first("p").alias("p"))
