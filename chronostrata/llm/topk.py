@@ -5,23 +5,25 @@ their ids. Each cell of the grid (query block, shard) is one task: the product i
 tile keeps its k best per query by partial selection, and what the cell has kept so far is merged with it.
 Lists of a query block are then merged by a tree, FAN shards at a time. Every row is a query.
 
-Products are rounded to DIGITS, so that results don't depend on the tiles; ties go by the smaller id. A
-vector isn't its own neighbour; other rows of the same id are. Null vectors, vectors that hold nulls or
-values that aren't finite, zero vectors and vectors whose length isn't that of most (ties: the longest)
-are left out, like rows without an id. Fewer than k neighbours: all of them. Extra columns are ignored.
+Products are rounded to DIGITS, so that results don't depend on the tiles; ties go by the smaller id, then
+by row. A vector isn't its own neighbour; other rows of the same id are. Ids may be of any type that has an
+order. Vectors of different lengths aren't compared: those of each length are searched among themselves.
+Null vectors, vectors that hold nulls or values that aren't finite, zero vectors and rows without an id are
+left out. Fewer than k neighbours: all of them. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialise
+from .common import materialise, small
 
 K, DIGITS, FAN = 10, 6, 8
 #: Rows of a query block and of a shard, and of a tile of either.
@@ -29,17 +31,45 @@ BLOCK, TILE = 16_384, 1024
 
 
 def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec) with the usable vectors, as array<double>."""
-    v = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL AND size(vec) > 0")
-    v = v.where(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))).where(F.exists("vec", lambda x: x != 0))
-    top = v.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return v.where(F.size("vec") == (top["n"] if top else 0))
+    """(id, vec) with the usable vectors, as array<float> or array<double>."""
+    kind = df.schema[vec_col].dataType
+    kind = "float" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "double"
+    v = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast(f"array<{kind}>").alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL AND size(vec) > 0")
+    return v.where(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))).where(F.exists("vec", lambda x: x != 0))
+
+
+def by_length(df: DataFrame, id_col: str, vec_col: str, search: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """(id, rank, neighbour, cosine): what `search` finds among the vectors (id, row, vec), their ids being whole numbers, and their number, for each length.
+
+    Ids of another type are numbered in their order, and put back at the end.
+    """
+    usable = vectors(df, id_col, vec_col)
+    kind = df.schema[id_col].dataType
+    whole = isinstance(kind, T.IntegralType)
+    if whole:
+        usable = materialise(usable.withColumn("id", F.col("id").cast("bigint")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    else:
+        # ranges in order, sorted: rising row numbers are rising ids
+        ranged = usable.repartitionByRange(F.col("id")).sortWithinPartitions("id").withColumn("row", F.monotonically_increasing_id())
+        ranged = materialise(ranged, "vectors")
+        names, usable = ranged.select("row", F.col("id").alias("name")), ranged.withColumn("id", F.col("row"))
+    out = None
+    for r in usable.groupBy(F.size("vec").alias("n")).count().orderBy("n").collect():  # a row for each length
+        part = search(usable.where(F.size("vec") == r["n"]), r["count"])
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = df.sparkSession.createDataFrame([], "id bigint, rank int, neighbour bigint, cosine double")
+    if whole:
+        return out.select(F.col("id").cast(kind).alias(id_col), "rank", F.col("neighbour").cast(kind).alias("neighbour"), "cosine")
+    names = small(names, names.count())
+    out = out.join(names.withColumnsRenamed({"row": "id", "name": "q"}), "id").join(names.withColumnsRenamed({"row": "neighbour", "name": "n"}), "neighbour")
+    return out.select(F.col("q").alias(id_col), "rank", F.col("n").alias("neighbour"), "cosine")
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """The rows of a list column as a matrix."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1).astype(np.float64)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -88,9 +118,11 @@ def search_cell(q_ids: np.ndarray, q_row: np.ndarray, q: np.ndarray, c_ids: np.n
 
 def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, block: int = BLOCK) -> DataFrame:
     """(id, rank, neighbour, cosine) with rank from 1 to k, for every usable vector."""
-    usable = vectors(df, id_col, vec_col).withColumn("row", F.monotonically_increasing_id())
-    usable = materialise(usable, "vectors")
-    n = usable.count()
+    return by_length(df, id_col, vec_col, lambda usable, n: _top_k(usable, n, k, block))
+
+
+def _top_k(usable: DataFrame, n: int, k: int, block: int) -> DataFrame:
+    """(id, rank, neighbour, cosine) among the n vectors (id, row, vec) of one length."""
     parts = max(1, math.ceil(n / block))
     placed = usable.withColumn("part", F.pmod(F.xxhash64("id", "row"), F.lit(parts)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
@@ -119,7 +151,7 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k:
                 q, s, i = np.frombuffer(q, np.int64), np.frombuffer(s), np.frombuffer(i, np.int64)
                 rank = np.tile(np.arange(1, k + 1, dtype=np.int32), len(q))
                 on = s > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, k)[on]), pa.array(rank[on]), pa.array(i[on]), pa.array(s[on] + 0.0)], [id_col, "rank", "neighbour", "cosine"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, k)[on]), pa.array(rank[on]), pa.array(i[on]), pa.array(s[on] + 0.0)], ["id", "rank", "neighbour", "cosine"])
 
     schema = pa.schema([("qb", pa.int32()), ("cs", pa.int32()), ("row", pa.binary()), ("id", pa.binary()), ("score", pa.binary()), ("ids", pa.binary())])
     kind = "qb int, cs int, row binary, id binary, score binary, ids binary"
@@ -128,7 +160,7 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k:
     while left > 1:
         lists = lists.withColumn("cs", (F.col("cs") / FAN).cast("int")).groupBy("qb", "cs").applyInArrow(merge, kind)
         left = math.ceil(left / FAN)
-    return lists.mapInArrow(spread, f"`{id_col}` bigint, rank int, neighbour bigint, cosine double")
+    return lists.mapInArrow(spread, "id bigint, rank int, neighbour bigint, cosine double")
 
 
 #: top_k() of embeddings, for DuckDB.
