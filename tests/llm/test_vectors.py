@@ -74,10 +74,10 @@ def test_asymmetric_distances_are_those_to_the_decoded_vectors():
 @pytest.mark.parametrize("search", [T.top_k, A.neighbours])
 def test_odd_rows(spark, search):
     inf, nan = float("inf"), float("nan")
-    bad = [(None, [1.0, 2.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 2.0, 3.0])]
+    bad = [(None, [1.0, 2.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 2.0, 3.0])]  # the last has no other of its length
     good = [(10, [1.0, 0.0]), (11, [1.0, 0.0]), (11, [1.0, 0.0]), (12, [0.0, 1.0]), (13, [-1.0, 1e-30])]
     df = spark.createDataFrame([(i, v, None, None) for i, v in bad + good], SCHEMA)
-    got = search(df, k=3, **({"probes": 1.0} if search is A.neighbours else {}))
+    got = search(df, k=3)
     rows = sorted(map(tuple, got.collect()))
     assert {r[0] for r in rows} == {10, 11, 12, 13}
     assert [r[1:3] for r in rows if r[0] == 10] == [(1, 11), (2, 11), (3, 12)]
@@ -101,18 +101,64 @@ def test_recall_where_many_are_near(spark, kind):
     df = spark.createDataFrame([(i, v.tolist(), 0, 0.0) for i, v in enumerate(x)], SCHEMA)
     got, want = lists(A.neighbours(df)), brute(df)
     recall = np.mean([len({j for j, _ in got[i]} & {j for j, _ in want[i]}) / 10 for i in want])
-    assert recall >= 0.99, recall
+    assert recall >= 0.95, recall
 
 
 @pytest.mark.parametrize("kind", ["clusters", "copies"])
-def test_a_probed_list_loses_nothing(kind):
+def test_a_chunk_loses_next_to_nothing(kind):
     x = T.unit(crowded(kind).astype(float))
     rng = np.random.default_rng(4)
-    centre, ids = x.mean(axis=0), rng.permutation(len(x)) * 7
-    books = A.split((x - centre)[rng.integers(0, len(x), 16)], 4)
-    codes = np.stack([A.nearest(r, books[j]).argmin(axis=1) for j, r in enumerate(A.split(x - centre, 4))], 1).astype(np.uint8)
-    s, i = A.search_list(x, np.arange(len(x)), x, ids, np.arange(len(x)), codes, centre, books, 10, A.SHORTLIST)
+    centres, ids = x[rng.integers(0, len(x), 3)], rng.permutation(len(x)) * 7
+    of = A.nearest(x, centres).argmin(axis=1)
+    books = A.split((x - centres[of])[rng.integers(0, len(x), 64)], 8)
+    codes = np.stack([A.nearest(r, books[j]).argmin(axis=1) for j, r in enumerate(A.split(x - centres[of], 8))], 1).astype(np.uint8)
+    part = A.Chunk(x, ids, np.arange(len(x)), codes, of, centres, books)
     want = np.round(x @ x.T, T.DIGITS)
     np.fill_diagonal(want, -np.inf)
     want_s, want_i = T.best(want, ids[None], 10)
-    assert np.array_equal(i, want_i) and np.allclose(s, want_s, atol=2e-6)
+    s, i = part.search_all(x, np.arange(len(x)), 10)
+    assert np.mean([np.isin(a, b).mean() for a, b in zip(want_i, i)]) > 0.999
+    s, i = part.search_lists(x, np.arange(len(x)), np.ones((len(x), 3), bool), want_s[:, -1], 10)
+    assert np.mean([np.isin(a, b).mean() for a, b in zip(want_i, i)]) > 0.99
+    half = np.zeros((len(x), 3), bool)
+    half[:, 1] = True
+    s, i = part.search_lists(x, np.arange(len(x)), half, np.full(len(x), -1.0), 10)
+    inside = np.where(of == 1, want, -np.inf)
+    assert np.mean([np.isin(a, b).mean() for a, b in zip(T.best(inside, ids[None], 10)[1], i)]) > 0.99
+
+
+def test_chunks_hold_all_lists_once():
+    rng = np.random.default_rng(5)
+    centres, counts = rng.normal(size=(60, 8)), rng.integers(0, 400, 60)
+    counts[3] = 90_000
+    got = A.chunks(centres, counts, 2000)
+    assert sorted(np.concatenate(got).tolist()) == np.flatnonzero(counts).tolist()
+    assert all(counts[g].sum() <= 2000 or len(g) == 1 for g in got)
+
+
+@pytest.mark.parametrize("search", [T.top_k, A.neighbours])
+def test_text_ids_and_vectors_of_several_lengths(spark, search):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 4)).astype(np.float32)
+    rows = [(f"n{i:03}", v.tolist(), 0, 0.0) for i, v in enumerate(x)] + [(f"m{i}", [1.0, float(i)], 0, 0.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<float>, rank int, cosine double")
+    got = lists(search(df, k=5))
+    want = brute(spark.createDataFrame([(i, v.tolist(), 0, 0.0) for i, v in enumerate(x)], SCHEMA), 5)
+    assert len(got) == 63 and [j for j, _ in got["m0"]] == ["m1", "m2"]
+    for i, v in want.items():
+        assert [int(j[1:]) for j, _ in got[f"n{i:03}"]] == [j for j, _ in v]
+
+
+def test_many_chunks_and_pieces_of_a_long_list(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    c = rng.normal(size=(30, 16))
+    x = (c[rng.integers(0, 30, 4000)] + rng.normal(size=(4000, 16)) * 0.4).astype(np.float32)
+    x[:900] = x[0] + rng.normal(size=(900, 16)) * 0.01
+    monkeypatch.setattr(A, "BLOCK", 150)
+    monkeypatch.setattr(A, "QUERIES", 1000)
+    monkeypatch.setattr(A.chunks, "__defaults__", (150,))
+    df = spark.createDataFrame([(i, v.tolist(), 0, 0.0) for i, v in enumerate(x)], SCHEMA)
+    got, want = lists(A.neighbours(df)), brute(df)
+    assert got.keys() == want.keys() and all(len(v) == 10 for v in got.values())
+    recall = np.mean([len({j for j, _ in got[i]} & {j for j, _ in want[i]}) / 10 for i in want])
+    assert recall >= 0.9, recall
