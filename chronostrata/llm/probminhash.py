@@ -10,12 +10,21 @@ weight, to registers drawn at random; a register keeps the element that came fir
 a register with probability J_P. An element ends as soon as its next arrival comes after the latest
 register, so that a document costs about (elements + M log M) steps and not their product.
 
-Sketches are cut into bands, documents that agree in a band meet in a bucket, and in each bucket the
-similarity is computed exactly, from whole texts. Linked documents form groups (connected components).
-
-Null and wordless texts have no shingles and belong to no group. Rows without an id can't be named in a
-result and belong to no group. Rows of one id are rows of one document. Ties: the smallest id of a group
-represents it. Other columns are ignored.
+Sketches are cut into bands, texts that agree in a band meet in a bucket, and in each bucket the
+similarity is computed exactly, from whole texts. Linked texts form groups (connected components).
+
+A text of a bucket is compared with the first of each group found so far in it; pairs of texts that are still in different groups are then
+told by a bound first: J_P is at most the sum of the smaller shares of the shingles that both have, which
+matrices of the shared shingles give for all pairs at once. A bucket of more than BLOCK texts is cut into
+blocks, each a task of its own that has PIVOTS texts of the bucket too, so that copies in different
+blocks come together. What is then not in the bucket's largest group is compared with all its blocks, in a grid of tasks. So a bucket of
+n copies costs about n comparisons, one of unlike texts n squared of the bound, spread over n / BLOCK squared tasks.
+
+What is compared is distinct weighted shingles, numbered here: ids may be of any type that has an order, and rows
+of one id with different texts are different documents, rows of one id with the same text one. Null and
+wordless texts have no shingles and belong to no group. Rows without an id can't be named in a
+result and belong to no group. Ties: the smallest id of a group
+represents it, then the smallest hash of a text. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,15 +34,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import discard, fresh, materialise, slices, small
+from .common import discard, fresh, materialise, slices, small, trim
 from .words import mix, shingles, word_hashes
 
 REGISTERS, ROWS = 128, 4
 #: Documents at least this similar are near duplicates.
 THRESHOLD = 0.5
+#: Texts of a block of a bucket, and those of the bucket that all its blocks have.
+BLOCK, PIVOTS = 1000, 4
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,8 +122,8 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 1):
-        sets = weighted(batch.column(1))
+    for batch in slices(batches, 2):
+        sets = weighted(batch.column(2))
         keep = [i for i, (k, _) in enumerate(sets) if len(k)]
         if not keep:
             continue
@@ -119,58 +131,119 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = [xxhash.xxh3_128_digest(sets[i][0].tobytes() + sets[i][1].tobytes()) for i in keep]
         flat = pa.array(band.reshape(-1), pa.int64())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * band.shape[1]), flat)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(same, pa.binary()), lists], ["id", "same", "bands"])
+        at = pa.array(keep)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(same, pa.binary()), lists], ["id", "hash", "same", "bands"])
+
+
+def shares(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each pair the sum of the smaller shares of shingles that both have: at least their probability Jaccard index."""
+    out = np.zeros((len(a), len(b)), np.float32)
+
+    def flat(sets: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys = np.concatenate([k for k, _ in sets])
+        share = np.concatenate([w / w.sum() for _, w in sets]).astype(np.float32)
+        order = np.argsort(keys, kind="stable")
+        return keys[order], share[order], np.repeat(np.arange(len(sets)), [len(k) for k, _ in sets])[order]
+
+    (ka, wa, da), (kb, wb, db) = flat(a), flat(b)
+    both = np.intersect1d(ka, kb)
+    a0, a1, b0, b1 = (np.searchsorted(k, both, side) for k in (ka, kb) for side in ("left", "right"))
+    one = (a1 - a0 == 1) & (b1 - b0 == 1)  # many shingles, each of one pair
+    np.add.at(out, (da[a0[one]], db[b0[one]]), np.minimum(wa[a0[one]], wb[b0[one]]))
+    for lo, hi, at, to in zip(a0[~one].tolist(), a1[~one].tolist(), b0[~one].tolist(), b1[~one].tolist()):
+        out[np.ix_(da[lo:hi], db[at:to])] += np.minimum(wa[lo:hi, None], wb[None, at:to])
+    return out
+
+
+class Groups:
+    """Groups of the numbers from 0, as links join them."""
+
+    def __init__(self, start: np.ndarray) -> None:
+        self.of = start.copy()
 
+    def join(self, i: int, j: int) -> None:
+        """Makes one group of those of i and j."""
+        a, b = self.of[i], self.of[j]
+        if a != b:
+            self.of[self.of == max(a, b)] = min(a, b)
 
-def link(ids: list[int], sets: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> list[tuple[int, int]]:
-    """(id, smallest id of its component) for the ids of a bucket that are linked.
 
-    Components are as if all pairs were compared: each round takes the smallest component that has members
-    not yet compared with all the others and compares one, so that only pairs already in one component are
-    left out. A bucket of n copies costs about n comparisons.
+def link(sets: list[tuple[np.ndarray, np.ndarray]], threshold: float, pivots: int = 8) -> np.ndarray:
+    """The group of each set: components as if all pairs were compared; only pairs already in one group, and those whose bound is below the threshold, are left out."""
+    n = len(sets)
+    groups = Groups(np.arange(n))
+    firsts: list[int] = []
+    for i in range(n):
+        for j in firsts:
+            if groups.of[i] != groups.of[j] and probability_jaccard(sets[i], sets[j]) >= threshold:
+                groups.join(i, j)
+        if groups.of[i] == i and len(firsts) < pivots:
+            firsts.append(i)
+    if n > pivots or len(np.unique(groups.of)) < n:  # else all pairs have been compared
+        across(sets, sets, groups, np.arange(n), np.arange(n), threshold)
+    return groups.of
+
+
+def across(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np.ndarray]], groups: Groups, at: np.ndarray, bt: np.ndarray, threshold: float) -> None:
+    """Joins the groups of all pairs of a and b that reach the threshold; at and bt are their numbers in groups.
+
+    Only the texts of all groups but the largest are looked at on the side of a, as a pair within it needs no look.
     """
-    n = len(ids)
-    comp = list(range(n))
-    members = {i: [i] for i in range(n)}
-    tested = [False] * n
-    waiting = {i: [i] for i in range(n)}
-    while len(waiting) > 1:
-        c = min(waiting, key=lambda k: (len(members[k]), k))
-        i = waiting[c].pop()
-        if not waiting[c]:
-            del waiting[c]
-        tested[i] = True
-        for other in list(members):
-            mine = comp[i]
-            if other == mine or other not in members:
-                continue
-            for j in members[other]:
-                # members tested before have met i already
-                if not tested[j] and probability_jaccard(sets[i], sets[j]) >= threshold:
-                    a, b = (mine, other) if len(members[mine]) >= len(members[other]) else (other, mine)
-                    for k in members[b]:
-                        comp[k] = a
-                    members[a] += members.pop(b)
-                    if b in waiting:
-                        waiting.setdefault(a, []).extend(waiting.pop(b))
-                    break
-    out = []
-    for group in members.values():
-        if len(group) > 1:
-            root = min(ids[k] for k in group)
-            out += [(ids[k], root) for k in group if ids[k] != root]
-    return out
+    ga, gb = groups.of[at], groups.of[bt]
+    if len(np.unique(np.concatenate([ga, gb]))) < 2:
+        return
+    if a is b:
+        name, size = np.unique(ga, return_counts=True)
+        rows = np.flatnonzero(ga != name[size.argmax()])
+    else:
+        rows = np.arange(len(a))
+    bound = shares([a[i] for i in rows], b)
+    for k, i in enumerate(rows.tolist()):
+        for j in np.flatnonzero((bound[k] >= threshold - 1e-4) & (groups.of[bt] != groups.of[at[i]])).tolist():
+            if groups.of[at[i]] != groups.of[bt[j]] and probability_jaccard(a[i], b[j]) >= threshold:
+                groups.join(at[i], bt[j])
+
+
+def _edges(ids: np.ndarray, of: np.ndarray) -> pa.Table:
+    """(a, b) with b the smallest id of a's group, for ids that aren't the smallest."""
+    low = {}
+    for i, g in zip(ids.tolist(), of.tolist()):
+        low[g] = min(low.get(g, i), i)
+    pairs = sorted({(i, low[g]) for i, g in zip(ids.tolist(), of.tolist()) if i != low[g]})
+    return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
 
 def _verify(threshold: float):
+    """Links the texts (id, text) of a block."""
+
     def run(table: pa.Table) -> pa.Table:
-        first: dict[int, str] = {}
-        for i, t in zip(table.column("id").to_pylist(), table.column("text").to_pylist()):
-            if i not in first or t < first[i]:
-                first[i] = t
-        ids = sorted(first)
-        edges = link(ids, weighted(pa.array([first[i] for i in ids], pa.string())), threshold)
-        return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
+        texts = dict(zip(table.column("id").to_pylist(), table.column("text").to_pylist()))
+        ids = sorted(texts)
+        out = _edges(np.array(ids), link(weighted(pa.array([texts[i] for i in ids], pa.string())), threshold))
+        trim()
+        return out
+
+    return run
+
+
+def _verify_grid(threshold: float):
+    """Links the texts (id, text, minor, group) of two blocks: those with minor to the others; a group is what earlier links have made."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sides: dict[bool, dict[int, tuple[str, int]]] = {True: {}, False: {}}
+        for i, t, m, g in zip(*(table.column(c).to_pylist() for c in ("id", "text", "minor", "group"))):
+            sides[m][i] = t, g
+        ids = sorted(sides[True].keys() | sides[False].keys())
+        number = {i: k for k, i in enumerate(ids)}
+        known = {i: g for side in sides.values() for i, (_, g) in side.items()}
+        groups = Groups(np.unique([known[i] for i in ids], return_inverse=True)[1])
+        a, b = (sorted(sides[m]) for m in (True, False))
+        if a and b:
+            sets = [weighted(pa.array([sides[m][i][0] for i in x], pa.string())) for m, x in ((True, a), (False, b))]
+            across(*sets, groups, np.array([number[i] for i in a]), np.array([number[i] for i in b]), threshold)
+        out = _edges(np.array(ids), groups.of) if ids else _edges(np.zeros(0, np.int64), np.zeros(0, np.int64))
+        trim()
+        return out
 
     return run
 
@@ -198,44 +271,80 @@ def components(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def _hash(text_col: str) -> Column:
+    """Tells rows of one id apart."""
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
+def _members(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """(id, hash, keep, keep_hash, size): the documents of the groups of at least two, by id and hash of the text, and the one that stays."""
+    base = docs.select(F.col(id_col).alias("id"), _hash(text_col).alias("hash"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    schema = base.select("id", "hash").schema.add("same", "binary").add("bands", T.ArrayType(T.LongType()))
+    sketched = materialise(base.mapInArrow(_sketch, schema), "sketches")
+    # texts with the same weighted shingles are linked without a comparison, and one of them stands for all
+    one = sketched.groupBy("same").agg(F.min(F.struct("id", "hash")).alias("rep"), F.count("*").alias("n"), F.min("bands").alias("bands"))
+    one = materialise(one.withColumn("cid", F.monotonically_increasing_id()), "distinct")
+    # the same texts often meet in several bands: one bucket of each is enough, told by number and hashes
+    met = one.select("cid", F.explode("bands").alias("band"))
+    sums = [F.bit_xor(F.xxhash64("cid", F.lit(k))).alias(f"h{k}") for k in range(2)]
+    bucket = met.groupBy("band").agg(F.count("*").alias("n"), *sums).where("n > 1").groupBy("n", "h0", "h1").agg(F.min("band").alias("band")).select("band", "n")
+    bucket = materialise(bucket, "buckets")
+    m = bucket.count()
+    placed = met.join(small(bucket, m), "band").withColumn("block", F.pmod(F.xxhash64("cid", F.lit("block")), F.ceil(F.col("n") / BLOCK)).cast("int"))
+    placed = materialise(placed.select("band", "n", "block", "cid"), "placed")
+    wanted = placed.select("cid").distinct()
+    wanted = materialise(wanted.join(one.select("cid", "rep.id", "rep.hash"), "cid"), "wanted")
+    texts = materialise(base.join(small(wanted, wanted.count()), ["id", "hash"]).select("cid", "text").dropDuplicates(["cid"]), "texts")
+    large = placed.where(F.col("n") > BLOCK)
+    first = large.groupBy("band").agg(F.slice(F.sort_array(F.collect_set(F.when(F.col("block") < 1, F.col("cid")))), 1, PIVOTS).alias("cids"), F.max("n").alias("n"))
+    pivots = first.select("band", F.explode("cids").alias("cid"), "n").select("band", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / BLOCK) - 1).cast("int"))).alias("block"), "cid")
+    cells = placed.select("band", "block", "cid").unionByName(pivots)
+    pairs = cells.join(texts, "cid").select("band", "block", F.col("cid").alias("id"), "text").groupBy("band", "block").applyInArrow(_verify(threshold), "a bigint, b bigint")
+    linked = components(pairs)
+    spent = [sketched, one, bucket, placed, wanted, texts]
+    if large.limit(1).count():
+        grouped = large.join(linked.select(F.col("a").alias("cid"), "b"), "cid", "left").select("band", "n", "block", "cid", F.coalesce("b", "cid").alias("group"))
+        grouped = materialise(grouped, "grouped")
+        top = grouped.groupBy("band", "group").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("group", F.struct("k", "group")).alias("top"))
+        minor = grouped.join(top, "band").where("group <> top").select("band", "n", F.col("block").alias("row"), "cid", "group")
+        # each block of those beside the largest group meets each block of the bucket
+        rows = minor.select("band", "row", "n").distinct()
+        left = minor.select("band", "row", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / BLOCK) - 1).cast("int"))).alias("block"), "cid", "group", F.lit(True).alias("minor"))
+        right = grouped.join(rows.drop("n"), "band").select("band", "row", "block", "cid", "group", F.lit(False).alias("minor"))
+        grid = left.unionByName(right).join(texts, "cid").select("band", "row", "block", F.col("cid").alias("id"), "group", "minor", "text")
+        more = grid.groupBy("band", "row", "block").applyInArrow(_verify_grid(threshold), "a bigint, b bigint")
+        before, linked = linked, components(linked.unionByName(more))
+        discard(before)
+        spent.append(grouped)
+    hot = one.join(linked.withColumnsRenamed({"a": "cid", "b": "root"}), "cid", "left").join(linked.select(F.col("b").alias("cid")).distinct().withColumn("is_root", F.lit(True)), "cid", "left")
+    hot = hot.where("root IS NOT NULL OR is_root OR n > 1").select("same", F.coalesce("root", "cid").alias("root"))
+    members = sketched.join(hot, "same").select("root", "id", "hash").distinct()
+    sizes = members.groupBy("root").agg(F.count("*").alias("size"), F.min(F.struct("id", "hash")).alias("m")).where("size > 1")
+    out = materialise(members.join(sizes, "root").select("id", "hash", F.col("m.id").alias("keep"), F.col("m.hash").alias("keep_hash"), "size"), "members")
+    discard(*spent, linked)
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, keep_id, group_size): a row for each document of a group of at least two; keep_id is the group's smallest id."""
-    base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    sketched = materialise(base.mapInArrow(_sketch, "id bigint, same binary, bands array<bigint>"), "sketches")
-    # copies with the same weighted shingles are linked without a comparison, and one of them stands for all
-    one = sketched.groupBy("same").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.min("bands").alias("bands"))
-    one = materialise(one, "distinct")
-    exact = sketched.select("id", "same").join(one.where("last > rep").select("same", "rep"), "same").where("id > rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    met = one.select("rep", F.explode("bands").alias("band")).groupBy("band").agg(F.sort_array(F.collect_set("rep")).alias("ids")).where(F.size("ids") > 1)
-    # the same documents often meet in several bands: once is enough
-    buckets = met.select("ids").distinct().select(F.xxhash64("ids").alias("bucket"), F.md5(F.concat_ws(",", F.col("ids").cast("array<string>"))).alias("tie"), F.explode("ids").alias("id"))
-    buckets = materialise(buckets, "buckets")
-    wanted = buckets.select("id").distinct()
-    wanted = small(wanted, wanted.count())
-    texts = base.join(wanted, "id", "left_semi")
-    pairs = buckets.join(texts, "id").groupBy("bucket", "tie").applyInArrow(_verify(threshold), "a bigint, b bigint")
-    linked = components(exact.unionByName(pairs))
-    discard(sketched, one, buckets)
-    grouped = linked.select(F.col("a").alias("doc_id"), F.col("b").alias("keep_id"))
-    sizes = grouped.groupBy("keep_id").agg((F.count("*") + 1).alias("group_size"))
-    return grouped.unionByName(sizes.select(F.col("keep_id").alias("doc_id"), "keep_id")).join(sizes, "keep_id").select("doc_id", "keep_id", "group_size")
+    return _members(docs, id_col, text_col, threshold).select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents that near_duplicates() finds beside the one that stays of each group.
 
-    Repeated rows of one id: one stays (the one with the smallest text). Rows without an id all stay.
+    Repeated rows of one id and text, null texts too: one stays. Rows without an id all stay.
     """
-    key = F.col(id_col).cast("bigint")
-    gone_id, often_id, nth = fresh(docs, "gone", "often", "nth")
-    groups = near_duplicates(docs, id_col, text_col, threshold)
-    gone = materialise(groups.where("doc_id <> keep_id").select(F.col("doc_id").alias(gone_id)), "gone")
-    often = docs.where(F.col(id_col).isNotNull()).groupBy(key.alias(often_id)).agg(F.count("*").alias(nth)).where(F.col(nth) > 1).select(often_id)
+    key, digest = F.col(id_col), F.coalesce(_hash(text_col), F.lit(0))
+    gone_id, gone_hash, nth = fresh(docs, "gone", "hash", "nth")
+    gone = materialise(_members(docs, id_col, text_col, threshold).where("NOT (id <=> keep AND hash <=> keep_hash)").select(F.col("id").alias(gone_id), F.col("hash").alias(gone_hash)), "gone")
+    often = docs.where(key.isNotNull()).groupBy(key.alias(gone_id), digest.alias(gone_hash)).agg(F.count("*").alias(nth)).where(F.col(nth) > 1).select(gone_id, gone_hash)
     often = materialise(often, "often")
-    kept = docs.join(small(gone, gone.count()), key == F.col(gone_id), "left_anti")
+    on = (key == F.col(gone_id)) & (digest == F.col(gone_hash))
+    kept = docs.join(small(gone, gone.count()), on, "left_anti")
     if m := often.count():
-        again = kept.join(small(often, m), key == F.col(often_id), "left_semi")
-        order = Window.partitionBy(key).orderBy(F.col(text_col).asc_nulls_last())
+        again = kept.join(small(often, m), on, "left_semi")
+        order = Window.partitionBy(key, digest).orderBy(F.lit(0))
         again = again.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
-        kept = kept.join(small(often, m), key == F.col(often_id), "left_anti").unionByName(again)
+        kept = kept.join(small(often, m), on, "left_anti").unionByName(again)
     return kept

@@ -64,14 +64,48 @@ def components(pairs):
     return {x: find(x) for x in root}
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.integers(0, 10**6))
-def test_link_is_all_pairs(seed):
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([2, 5, 12, 30]), st.sampled_from([1, 3, 8]))
+def test_link_is_all_pairs(seed, n, pivots):
     rng = random.Random(seed)
     base = [rng.getrandbits(50) for _ in range(30)]
-    sets = [arrays({k: 1 for k in rng.sample(base, rng.randint(18, 30))}) for _ in range(12)]
-    want = components((i, j) for i in range(12) for j in range(i) if P.probability_jaccard(sets[i], sets[j]) >= 0.6)
-    assert dict(P.link(list(range(12)), sets, 0.6)) == {i: r for i, r in want.items() if i != r}
+    sets = [arrays({k: rng.randint(1, 2) for k in rng.sample(base, rng.randint(18, 30))}) for _ in range(n)]
+    want = components((i, j) for i in range(n) for j in range(i) if P.probability_jaccard(sets[i], sets[j]) >= 0.6)
+    assert P.link(sets, 0.6, pivots).tolist() == [want.get(i, i) for i in range(n)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(BAG.filter(bool), min_size=1, max_size=6), st.lists(BAG.filter(bool), min_size=1, max_size=6))
+def test_shares_are_a_bound(xs, ys):
+    got = P.shares([arrays(x) for x in xs], [arrays(y) for y in ys])
+    for i, x in enumerate(xs):
+        for j, y in enumerate(ys):
+            share = sum(min(x[d] / sum(x.values()), y[d] / sum(y.values())) for d in x.keys() & y.keys())
+            assert abs(got[i, j] - share) < 1e-5 and naive(x, y) <= share + 1e-9
+
+
+def test_a_hot_bucket_is_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK", 60)
+    rng = random.Random(7)
+    heavy = "alpha beta gamma " * 20
+    word = lambda: f"w{rng.randrange(10**7)}"
+    rows = [(i, heavy + " ".join(word() for _ in range(90))) for i in range(2000)]
+    rows += [(10_000 + i, rows[i][1].rsplit(" ", 3)[0] + " other words here") for i in range(0, 2000, 100)]
+    same = heavy + " ".join(word() for _ in range(90))
+    rows += [(20_000 + i, same.rsplit(" ", 1)[0] + " " + word()) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: r["keep_id"] for r in P.near_duplicates(df).collect()}
+    want = {i: i for i in range(0, 2000, 100)} | {10_000 + i: i for i in range(0, 2000, 100)} | {20_000 + i: 20_000 for i in range(500)}
+    assert got == want
+
+
+def test_ids_of_text_and_one_id_with_several_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(100)), " ".join(f"b{i}" for i in range(100))
+    rows = [("x", a), ("y", a + " more"), ("x", b), ("x", a), ("z", b + " too"), ("w", None), ("w", None), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert sorted(map(tuple, P.near_duplicates(df).collect())) == [("x", "x", 2), ("x", "x", 2), ("y", "x", 2), ("z", "x", 2)]
+    assert sorted((r["doc_id"] or "", r["text"]) for r in P.keep_one(df).collect() if r["text"]) == [("", a), ("x", a), ("x", b)]
+    assert P.keep_one(df).where("doc_id = 'w'").count() == 1
 
 
 def test_components(spark):
