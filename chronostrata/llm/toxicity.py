@@ -4,10 +4,12 @@ Features are the distinct words, pairs of neighbouring words and pairs of words
 the lower-cased text, hashed to 2**BITS buckets. FTRL-proximal keeps a learning rate for each coordinate
 and its L1 term leaves most weights at exactly zero, so that the weights that are broadcast are few.
 
-The classifier is fitted on at most SAMPLE labelled documents, those with the smallest hash of their id;
-every document is scored, over its whole text. The cut is chosen on a held-out part of the sample. Nulls: labels without an id or a label aren't used, and
-of several labels of one document the largest counts; null and wordless texts score as the bias alone and
-are never toxic. Without labels nothing is toxic. Extra columns are ignored (scores) or kept (keep_clean).
+The classifier is fitted on at most SAMPLE labelled documents of the table, those with the smallest hash of
+their id; every document is scored, over its whole text. The cut is chosen on a held-out part of the sample.
+Ids may be of any type. Nulls: labels without an id, a label or a document aren't used, and of several labels
+of one document the largest counts, of several texts of one id the first by its features; null and wordless
+texts score as the bias alone. Without labels nothing is toxic. Extra columns are ignored (scores) or kept
+(keep_clean).
 """
 
 from __future__ import annotations
@@ -114,9 +116,11 @@ def choose_cut(rows: list[tuple[np.ndarray, int]]) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float, float]:
     """The model of fit() and its cut, fitted in one executor task on the sample; only the weights come to the driver."""
-    y = labels.select(F.col(label_id).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
-    y = y.groupBy("id").agg(F.max("y").alias("y")).withColumn("at", F.xxhash64("id")).orderBy("at", "id").limit(sample)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    y = labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
+    # only labels of documents that are there take up places
+    y = y.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi").groupBy("id").agg(F.max("y").alias("y"))
+    y = y.withColumn("at", F.xxhash64("id")).orderBy("at", "id").limit(sample)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(y), "id").select("at", "id", "y", "text")  # at most `sample` ids
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         del rows
         trim()
 
-    hashed_rows = rows.mapInArrow(hashed, "at bigint, id bigint, y int, x binary")
+    hashed_rows = rows.mapInArrow(hashed, rows.select("at", "id", "y").schema.add("x", "binary"))
     got = hashed_rows.repartition(1).sortWithinPartitions("at", "id", "y", "x").mapInArrow(learn, "on binary, w binary, b double, cut double").first()
     if got is None:
         return np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0, 1.0
@@ -190,9 +194,9 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, samp
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, cut: float | None = None) -> DataFrame:
-    """(doc_id, score, toxic) for the documents whose score is above the cut; all are scored. Rows without an id are left out."""
+    """(doc_id, score, toxic; is_toxic, if the id has that name) for the documents whose score is above the cut; all are scored. Rows without an id are left out."""
     scored, name, best = _scored(docs.where(F.col(id_col).isNotNull()), labels, id_col, text_col, sample, False)
-    return scored.where(F.col(name) > (best if cut is None else cut)).withColumn("toxic", F.lit(True))
+    return scored.where(F.col(name) > (best if cut is None else cut)).withColumn("toxic" if id_col.lower() != "toxic" else "is_toxic", F.lit(True))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, cut: float | None = None) -> DataFrame:
