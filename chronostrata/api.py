@@ -12,6 +12,7 @@ from datetime import datetime, timedelta, timezone
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +64,19 @@ def checked(series: pd.Series) -> tuple[pd.Series, bool, str]:
     return (series.astype("float64") if kind == "float64" else series).sort_index(), aware, kind
 
 
+def _internal(entry: dict[str, Any]) -> dict[str, Any]:
+    """What the store knows of a series."""
+    aware, kind = entry["tzaware"], entry["value_type"]
+    return {"tzaware": aware, "tablename": str(entry["id"]), "index_type": "datetime64[ns, UTC]" if aware else "datetime64[ns]", "index_dtype": "<M8[ns]", "value_type": kind, "value_dtype": {"float64": "<f8", "object": "|O"}[kind], **entry.get("imeta", {})}
+
+
+def _name(name: str) -> str:
+    """A name that a series or group may have, without white space around it."""
+    if not isinstance(name, str) or not name.strip():
+        raise ValueError("a name is a text that isn't blank")
+    return name.strip()
+
+
 class TimeSeries:
     """Reads and writes of one namespace, with read-only secondaries in order of precedence."""
 
@@ -114,8 +128,21 @@ class TimeSeries:
 
     def _frame(self, i: int, series: pd.Series, kind: str) -> DataFrame:
         dates = series.index.tz_localize(None) if series.index.tz is not None else series.index
-        rows = [(i, d.to_pydatetime(), None if pd.isna(v) else float(v), None) if kind == "float64" else (i, d.to_pydatetime(), None, None if pd.isna(v) else v) for d, v in zip(dates, series.to_numpy())]
-        return self.spark.createDataFrame(rows, POINTS)
+        null = pd.isna(series).to_numpy()
+        values = series.to_numpy()
+        table = pa.table({
+            "series_id": pa.array([i] * len(series), pa.int64()),
+            "value_date": pa.array(dates.as_unit("us"), pa.timestamp("us")),
+            "num": pa.array(values, pa.float64(), mask=null) if kind == "float64" else pa.nulls(len(series), pa.float64()),
+            "txt": pa.nulls(len(series), pa.string()) if kind == "float64" else pa.array([None if n else v for n, v in zip(null, values)], pa.string()),
+        })
+        return self.spark.createDataFrame(table, POINTS)
+
+    def _known(self, name: str) -> dict[str, Any]:
+        """The entry of a series here; ValueError if there is none."""
+        if not (entry := self._entry(name)):
+            raise ValueError(f"no series {name!r}")
+        return entry
 
     # writes
 
@@ -162,12 +189,12 @@ class TimeSeries:
                 rows = B.diff(B.state_asof(log, start=dates[0].to_pydatetime(), end=dates[-1].to_pydatetime()), points)
         if "op" not in rows.columns:
             rows = rows.withColumn("op", F.when(F.col("num").isNull() & F.col("txt").isNull(), "erase").otherwise("set"))
-        found = rows.toPandas()
+        found = rows.select("series_id", "value_date", "op", "num", "txt").toArrow()
         if not len(found):
             return None if replace else pd.Series(dtype=kind, name=name)
-        rows = self.spark.createDataFrame([tuple(None if v is pd.NaT or (isinstance(v, float) and v != v) else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in r) for r in found[["series_id", "value_date", "op", "num", "txt"]].itertuples(index=False)], "series_id bigint, value_date timestamp_ntz, op string, num double, txt string")
+        rows = self.spark.createDataFrame(found, "series_id bigint, value_date timestamp_ntz, op string, num double, txt string")
         self.store.append(rows, author, moment, metadata, change, base, [entry["id"]])
-        return series if replace else self._series(found, name, entry)
+        return series if replace else self._series(found.to_pandas(), name, entry)
 
     def update(self, name: str, series: pd.Series, author: str, metadata: dict | None = None, insertion_date: datetime | None = None) -> pd.Series | None:
         """A revision of what is new in the series (null erases); returns it, an empty series if nothing is, None if nothing was created."""
@@ -203,7 +230,8 @@ class TimeSeries:
         return len(touched)
 
     def rename(self, old: str, new: str) -> None:
-        """Renames a series."""
+        """Renames a series; an unknown name is let pass."""
+        base, new = self.store.state().version, _name(new)
         self._forbid(old, "rename")
         if self._elsewhere(old) or self._elsewhere(new):
             raise ValueError(f"not allowed to rename to a name of a secondary source: {new}")
@@ -211,21 +239,23 @@ class TimeSeries:
             return
         if self._entry(new):
             raise ValueError(f"{new} already exists")
-        self.store.commit([{"kind": "rename", "name": old, "to": new}])
+        self.store.commit([{"kind": "rename", "name": old, "to": new}], base=base)
 
     def delete(self, name: str) -> None:
         """Deletes a series; an unknown name is let pass."""
+        base = self.store.state().version
         self._forbid(name, "delete")
         if self._entry(name):
-            self.store.commit([{"kind": "delete", "name": name}])
+            self.store.commit([{"kind": "delete", "name": name}], base=base)
 
     def strip(self, name: str, insertion_date: datetime) -> None:
         """Deletes the first revision at or after a date and all later ones."""
+        base = self.store.state().version
         self._forbid(name, "strip")
-        entry = self._entry(name)
+        entry = self._known(name)
         cut = self._revs(entry).where(F.col("insertion_date") >= F.lit(utc(insertion_date)).cast("timestamp_ntz")).agg(F.min("rev")).first()[0]
         if cut is not None:
-            self.store.commit([{"kind": "cut", "series": entry["id"], "rev": cut}])
+            self.store.commit([{"kind": "cut", "series": entry["id"], "rev": cut}], base=base)
 
     # reads
 
@@ -369,24 +399,29 @@ class TimeSeries:
 
     def internal_metadata(self, name: str) -> dict[str, Any] | None:
         """What the store knows of the series."""
-        kinds = {"float64": "<f8", "object": "|O"}
-        local = lambda e: {"tzaware": e["tzaware"], "tablename": str(e["id"]), "index_type": "datetime64[ns, UTC]" if e["tzaware"] else "datetime64[ns]", "index_dtype": "<M8[ns]", "value_type": e["value_type"], "value_dtype": kinds[e["value_type"]], **e.get("imeta", {})}
-        return self._read(name, None, local, "internal_metadata")
+        return self._read(name, None, _internal, "internal_metadata")
 
     def update_internal_metadata(self, name: str, metadata: dict[str, Any]) -> None:
         """Merges into what the store knows of the series."""
+        base = self.store.state().version
         self._forbid(name, "update metadata of")
-        self.store.commit([{"kind": "set", "name": name, "entry": {"imeta": {**self._entry(name).get("imeta", {}), **metadata}}}])
+        self.store.commit([{"kind": "set", "name": name, "entry": {"imeta": {**self._known(name).get("imeta", {}), **metadata}}}], base=base)
 
     def replace_metadata(self, name: str, metadata: dict[str, Any]) -> None:
         """Sets the metadata."""
-        self._forbid(name, "replace metadata of")
-        self.store.commit([{"kind": "set", "name": name, "entry": {"meta": metadata}}])
+        self._set_metadata(name, metadata, False)
 
     def update_metadata(self, name: str, metadata: dict[str, Any]) -> None:
         """Merges into the metadata."""
-        self._forbid(name, "update metadata of")
-        self.replace_metadata(name, {**self._entry(name)["meta"], **metadata})
+        self._set_metadata(name, metadata, True)
+
+    def _set_metadata(self, name: str, metadata: dict[str, Any], merge: bool) -> None:
+        base = self.store.state().version
+        self._forbid(name, "update metadata of" if merge else "replace metadata of")
+        if not isinstance(metadata, dict):
+            raise TypeError("metadata is not a dict")
+        old = self._known(name)["meta"] if merge else {}
+        self.store.commit([{"kind": "set", "name": name, "entry": {"meta": {**old, **metadata}}}], base=base)
 
     def catalog(self, allsources: bool = True) -> dict[tuple[str, str], list[tuple[str, str]]]:
         """(source, namespace) -> [(name, kind)]."""
@@ -408,21 +443,24 @@ class TimeSeries:
         return sorted(out)
 
     def _find(self, source: str, tree: S.Query, limit: int | None, meta: bool) -> list[Descriptor]:
-        mine = S.prune_by_source(source, tree)
+        mine = S.for_source(source, tree)
         if mine is None:
             return []
-        rows = self.store.registry().where(S.predicate(S.remove_by_source(mine) or S.Query("by.everything"))).select("name").orderBy("name")
+        rows = self.store.registry().where(S.predicate(mine)).select("name").orderBy("name")
         names = [r["name"] for r in (rows if limit is None else rows.limit(limit)).collect()]
-        return [Descriptor(n, self.internal_metadata(n) if meta else {}, self.metadata(n) if meta else {}, source) for n in names]
+        series = self.store.state().series
+        return [Descriptor(n, _internal(series[n]) if meta else {}, dict(series[n]["meta"]) if meta else {}, source) for n in names if n in series]
 
     def register_basket(self, name: str, query: str) -> None:
         """Stores a query."""
         S.parse(query)
-        self.store.commit([{"kind": "basket", "name": name, "query": query}])
+        self.store.commit([{"kind": "basket", "name": _name(name), "query": query}], base=self.store.state().version)
 
     def basket(self, name: str) -> list[Descriptor]:
         """What a stored query finds."""
-        return self.find(self.basket_definition(name))
+        if (query := self.basket_definition(name)) is None:
+            raise ValueError(f"no basket {name!r}")
+        return self.find(query)
 
     def basket_definition(self, name: str) -> str | None:
         """A stored query."""
@@ -434,7 +472,7 @@ class TimeSeries:
 
     def delete_basket(self, name: str) -> None:
         """Deletes a stored query."""
-        self.store.commit([{"kind": "drop_basket", "name": name}])
+        self.store.commit([{"kind": "drop_basket", "name": name}], base=self.store.state().version)
 
     # groups
 
@@ -460,14 +498,23 @@ class TimeSeries:
             raise ValueError("group has columns twice")
         frame = frame.set_axis(columns, axis=1)
         change, aware = [], frame.index.tz is not None
+        members = {c: checked(frame[c]) for c in columns}
+        # a column without a value tells no type
+        kinds = {c: kind for c, (x, _, kind) in members.items() if x.notna().any()}
         if not entry:
-            entry = {"members": {c: state.next_id + k for k, c in enumerate(columns)}, "tzaware": aware, "value_type": "float64", "meta": {}}
-            change = [{"kind": "create", "name": name, "entry": entry, "group": True}]
+            entry = {"members": {c: state.next_id + k for k, c in enumerate(columns)}, "kinds": kinds, "tzaware": aware, "value_type": "float64", "meta": {}}
+            change = [{"kind": "create", "name": _name(name), "entry": entry, "group": True}]
         elif entry["tzaware"] != aware:
             raise ValueError("group and frame differ in time zone awareness")
+        else:
+            known = entry.get("kinds", {})
+            if other := sorted(c for c, kind in kinds.items() if known.get(c, kind) != kind):
+                raise ValueError(f"group members of another type of values: {other}")
+            if {**known, **kinds} != known:
+                entry = {**entry, "kinds": {**known, **kinds}}
+                change = [{"kind": "set", "name": name, "entry": {"kinds": entry["kinds"]}, "group": True}]
         points = None
-        for c in columns:
-            series, _, kind = checked(frame[c])
+        for c, (series, _, kind) in members.items():
             part = self._frame(entry["members"][c], series.dropna(), kind)
             points = part if points is None else points.unionByName(part)
         ids = list(entry["members"].values())
@@ -479,6 +526,10 @@ class TimeSeries:
     def _mapping(self, entry: dict[str, Any]) -> tuple[DataFrame, list[str]]:
         return self.spark.createDataFrame([(i, m) for m, i in entry["members"].items()], "series_id bigint, member string"), list(entry["members"])
 
+    @staticmethod
+    def _texts(entry: dict[str, Any]) -> list[str]:
+        return [m for m, kind in entry.get("kinds", {}).items() if kind == "object"]
+
     def _wide(self, rows: pd.DataFrame, entry: dict[str, Any]) -> pd.DataFrame:
         out = rows.set_index("value_date")[list(entry["members"])].sort_index()
         out.index = pd.DatetimeIndex(out.index).rename(None).as_unit("ns")
@@ -489,7 +540,7 @@ class TimeSeries:
         if not (e := self._group(name)):
             return None
         mapping, members = self._mapping(e)
-        return self._wide(G.group_get(self.store.log(), mapping, members, utc(revision_date), self._bound(e, from_value_date), self._bound(e, to_value_date)).toPandas(), e)
+        return self._wide(G.group_get(self.store.log(), mapping, members, utc(revision_date), self._bound(e, from_value_date), self._bound(e, to_value_date), texts=self._texts(e)).toPandas(), e)
 
     def group_insertion_dates(self, name: str, from_insertion_date: datetime | None = None, to_insertion_date: datetime | None = None) -> list[pd.Timestamp]:
         """Insertion dates of a group, rising."""
@@ -503,19 +554,23 @@ class TimeSeries:
         if not (e := self._group(name)):
             return None
         mapping, members = self._mapping(e)
-        rows = G.group_history(self.store.log(), self.store.revisions(), mapping, members, utc(from_insertion_date), utc(to_insertion_date), self._bound(e, from_value_date), self._bound(e, to_value_date)).toPandas()
+        rows = G.group_history(self.store.log(), self.store.revisions(), mapping, members, utc(from_insertion_date), utc(to_insertion_date), self._bound(e, from_value_date), self._bound(e, to_value_date), self._texts(e)).toPandas()
         return {d.tz_localize("UTC"): self._wide(part.drop(columns="insertion_date"), e) for d, part in rows.groupby("insertion_date")}
 
     def group_rename(self, old: str, new: str) -> None:
         """Renames a group."""
+        base, new = self.store.state().version, _name(new)
+        if not self._group(old):
+            raise ValueError(f"no group {old!r}")
         if self._group(new):
             raise ValueError(f"{new} already exists")
-        self.store.commit([{"kind": "rename", "name": old, "to": new, "group": True}])
+        self.store.commit([{"kind": "rename", "name": old, "to": new, "group": True}], base=base)
 
     def group_delete(self, name: str) -> None:
-        """Deletes a group and its members."""
+        """Deletes a group and its members; an unknown name is let pass."""
+        base = self.store.state().version
         if self._group(name):
-            self.store.commit([{"kind": "delete", "name": name, "group": True}])
+            self.store.commit([{"kind": "delete", "name": name, "group": True}], base=base)
 
     def group_metadata(self, name: str) -> dict[str, Any] | None:
         """The user's metadata of a group."""
@@ -527,7 +582,10 @@ class TimeSeries:
 
     def update_group_metadata(self, name: str, metadata: dict[str, Any]) -> None:
         """Sets the metadata of a group, as it has always done in spite of its name."""
-        self.store.commit([{"kind": "set", "name": name, "entry": {"meta": metadata}, "group": True}])
+        base = self.store.state().version
+        if not self._group(name):
+            raise ValueError(f"no group {name!r}")
+        self.store.commit([{"kind": "set", "name": name, "entry": {"meta": metadata}, "group": True}], base=base)
 
     def group_catalog(self) -> dict[tuple[str, str], list[tuple[str, str]]]:
         """(source, namespace) -> [(name, kind)] of the groups."""

@@ -57,7 +57,20 @@ def overlaps(left: Column, right: Column, start: datetime | str | None = None, e
     return out
 
 
+def count_upto(values: Column, value: Column) -> Column:
+    """How many elements of a sorted array are at most a value, by bisection."""
+    n = F.size(values)
+
+    def halve(s: Column, _: Column) -> Column:
+        lo, hi = s["lo"], s["hi"]
+        mid = F.shiftright(lo + hi, 1)
+        up = F.get(values, mid) <= value
+        return F.when(lo >= hi, s).when(up, F.struct((mid + 1).alias("lo"), hi.alias("hi"))).otherwise(F.struct(lo.alias("lo"), mid.alias("hi")))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(n + F.lit(1))).cast("int"))
+    return F.when(n == 0, 0).otherwise(F.reduce(steps, F.struct(F.lit(0).alias("lo"), n.alias("hi")), halve)["lo"])
+
+
 def bisect(values: Column, value: Column) -> Column:
     """Index j with values[j] <= value < values[j + 1] in a sorted array; -1 before the first, the size after the last value."""
-    below = F.size(F.filter(values, lambda x: x <= value))
-    return F.when(value > F.element_at(values, -1), F.size(values)).otherwise(below - 1)
+    return F.when(value > F.element_at(values, -1), F.size(values)).otherwise(count_upto(values, value) - 1)

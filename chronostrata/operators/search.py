@@ -95,29 +95,32 @@ def parse(text: str) -> Query:
     return q
 
 
-def prune_by_source(source: str, q: Query) -> Query | None:
-    """q for one source: parts that ask for another source go, and with them the and/not that holds them; None if nothing is left."""
-    if q.op == "by.source":
-        return q if q.args[0] == source else None
-    if q.op not in ("by.and", "by.or", "by.not"):
-        return q
-    kids = [prune_by_source(source, a) for a in q.args]
-    left = [k for k in kids if k is not None]
-    if not left or q.op != "by.or" and len(left) < len(kids):
-        return None
-    return left[0] if len(left) == 1 and q.op != "by.not" else Query(q.op, tuple(left))
+def for_source(source: str, q: Query) -> Query | None:
+    """q as one source is asked: its tests of the source are true or false there, and fold away; None if nothing can match."""
+    out = _fold(source, q)
+    return (EVERYTHING if out else None) if isinstance(out, bool) else out
 
 
-def remove_by_source(q: Query) -> Query | None:
-    """q without its tests of the source; None if nothing is left, which means everything."""
+def _fold(source: str, q: Query) -> Query | bool:
     if q.op == "by.source":
-        return None
+        return q.args[0] == source
+    if q.op == "by.everything":
+        return True
     if q.op not in ("by.and", "by.or", "by.not"):
         return q
-    left = [k for a in q.args if (k := remove_by_source(a)) is not None]
+    kids = [_fold(source, a) for a in q.args]
+    if q.op == "by.not":
+        return not kids[0] if isinstance(kids[0], bool) else Query(q.op, (kids[0],))
+    decides = q.op == "by.or"  # what one of them being so decides
+    left = tuple(k for k in kids if not isinstance(k, bool))
+    if any(k is decides for k in kids):
+        return decides
     if not left:
-        return None
-    return left[0] if len(left) == 1 and q.op != "by.not" else Query(q.op, tuple(left))
+        return not decides
+    return left[0] if len(left) == 1 else Query(q.op, left)
+
+
+EVERYTHING = Query("by.everything")
 
 
 def _item(metadata: Column, key: str) -> tuple[Column, Column]:

@@ -17,9 +17,11 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import at, between, same_text, same_value
+from ..functions.columns import at, between, count_upto, same_text, same_value
 
 LOG = "series_id bigint, rev bigint, insertion_date timestamp_ntz, value_date timestamp_ntz, op string, num double, txt string"
+#: Revisions of a part of a series.
+REVS = 4096
 REVISIONS = "series_id bigint, rev bigint, insertion_date timestamp_ntz, author string, metadata string, ts_start timestamp_ntz, ts_end timestamp_ntz"
 POINT = ["series_id", "value_date"]
 
@@ -90,8 +92,9 @@ def history(log: DataFrame, revisions: DataFrame, from_insertion: datetime | str
 
 def pruned_history(states: DataFrame) -> DataFrame:
     """states without those that are equal to the state of the revision before."""
-    point = F.struct("value_date", "num", "txt")  # structs, as nulls would be left out of the list
-    signature = states.groupBy("series_id", "rev").agg(F.sort_array(F.collect_list(point)).alias("sig"))
+    # the number of points and 128 bits that don't depend on their order: no row holds a state
+    digests = [F.bit_xor(F.xxhash64(F.lit(k), "value_date", "num", "txt")) for k in range(2)]
+    signature = states.groupBy("series_id", "rev").agg(F.count("*").alias("n"), *(x.alias(f"d{k}") for k, x in enumerate(digests))).select("series_id", "rev", F.struct("n", "d0", "d1").alias("sig"))
     w = Window.partitionBy("series_id").orderBy("rev")
     kept = signature.withColumn("before", F.lag("sig").over(w)).where(~F.col("sig").eqNullSafe(F.col("before"))).select("series_id", "rev")
     return states.join(kept, ["series_id", "rev"], "left_semi")
@@ -110,12 +113,19 @@ def history_diff(log: DataFrame, revisions: DataFrame, from_insertion: datetime
     before = revisions.groupBy("series_id", "rev").agg(F.first("insertion_date").alias("i")).withColumn("prev", F.lag("rev").over(Window.partitionBy("series_id").orderBy("rev")))
     prev = before.select(F.col("series_id").alias("s"), F.col("rev").alias("r"), "prev")
     chosen = chosen.withColumn("lag", first).join(prev, ["s", "r"]).withColumn("lo", F.coalesce("lag", "prev", F.lit(-1)))
-    # the last row of a point in (lo, r] is its state at r; its state at lo is what it held before
-    spans = rows.withColumnRenamed("rev", "at").join(chosen, (F.col("series_id") == F.col("s")) & (F.col("at") > F.col("lo")) & (F.col("at") <= F.col("r")))
-    ends = spans.groupBy("series_id", "value_date", "r", "d", "lo").agg(F.max_by(_payload(), "at").alias("p"), F.min("at").alias("since"))
+    # a change belongs to the next selected revision; one after which none is selected, or that the first one's predecessor had, to none
     held = Window.partitionBy(*POINT).orderBy("rev")
-    old = rows.withColumn("was", F.lag(_payload()).over(held)).select("series_id", "value_date", F.col("rev").alias("since"), "was")
-    pairs = ends.join(old, ["series_id", "value_date", "since"])
+    point = rows.withColumn("was", F.lag(_payload()).over(held)).select("series_id", "rev", F.struct("value_date", _payload().alias("p"), "was").alias("x"), F.lit(None).cast("struct<r:bigint,d:timestamp_ntz,lo:bigint>").alias("c"))
+    marks = chosen.select(F.col("s").alias("series_id"), F.col("r").alias("rev"), F.lit(None).cast(point.schema["x"].dataType).alias("x"), F.struct("r", "d", "lo").alias("c"))
+    both = point.unionByName(marks).withColumn("part", F.expr(f"rev div {REVS}"))
+    # within a part of a series one pass from its end, so that a long series is several tasks; else the first of a later part
+    back = Window.partitionBy("series_id", "part").orderBy(F.desc("rev"), F.col("c").isNull())
+    parts = both.groupBy("series_id", "part").agg(F.min("c").alias("c"))
+    later = Window.partitionBy("series_id").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    later = parts.select("series_id", "part", F.last("c", ignorenulls=True).over(later).alias("after"))
+    near = both.withColumn("c", F.last("c", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))).where("x IS NOT NULL")
+    near = near.join(later, ["series_id", "part"]).withColumn("c", F.coalesce("c", "after")).where("c IS NOT NULL AND rev > c.lo")
+    pairs = near.groupBy("series_id", F.col("x.value_date").alias("value_date"), F.col("c.r").alias("r"), F.col("c.d").alias("d")).agg(F.max_by("x.p", "rev").alias("p"), F.min_by("x.was", "rev").alias("was"))
     shown = lambda p, c: F.when(F.col(f"{p}.op") == "set", F.col(f"{p}.{c}"))
     changed = ~(same_value(shown("p", "num"), shown("was", "num")) & same_text(shown("p", "txt"), shown("was", "txt")))
     out = pairs.where(changed).select("series_id", F.col("r").alias("rev"), F.col("d").alias("insertion_date"), "value_date", "p.op", "p.num", "p.txt")
@@ -137,15 +147,18 @@ def staircase(log: DataFrame, delta: timedelta, start: datetime | str | None = N
 def block_staircase(log: DataFrame, schedule: Sequence[tuple[int, datetime, datetime]], start: datetime | str | None = None, end: datetime | str | None = None) -> DataFrame:
     """(series_id, value_date, num, txt): each point as known at the last scheduled revision whose block has begun and that has a value.
 
-    schedule: (n, revision date, start of the block), as functions.schedule makes it; it is as long as the
-    time range, not as the data, and is broadcast.
+    schedule: (n, revision date, start of the block), both dates rising, as functions.schedule makes it; it is
+    as long as the time range, not as the data. Each row finds the blocks that it serves by bisection.
     """
-    spark = log.sparkSession
     held = validity(log.where(between(F.col("value_date"), start, end))).where("op = 'set'")
-    blocks = spark.createDataFrame(list(schedule), "n int, rd timestamp_ntz, bs timestamp_ntz")
-    on = (F.col("rd") >= F.col("insertion_date")) & (F.col("next_date").isNull() | (F.col("rd") < F.col("next_date"))) & (F.col("bs") <= F.col("value_date"))
-    hits = held.join(F.broadcast(blocks) if len(schedule) <= 100_000 else blocks, on)
-    best = hits.groupBy(*POINT).agg(F.max_by(F.struct("num", "txt"), "n").alias("p")).select(*POINT, "p.num", "p.txt")
+    if not schedule:
+        return held.select(*POINT, "num", "txt").limit(0)
+    dates, starts = (F.array(*map(at, x)) for x in list(zip(*schedule))[1:])
+    # the last block that begins in time, and before the value is replaced
+    upto = F.least(count_upto(starts, F.col("value_date")), F.when(F.col("next_date").isNull(), len(schedule)).otherwise(count_upto(dates, F.col("next_date") - F.expr("INTERVAL '0.000001' SECOND"))))
+    since = count_upto(dates, F.col("insertion_date") - F.expr("INTERVAL '0.000001' SECOND"))
+    hits = held.withColumn("upto", upto).where((F.col("upto") > 0) & (F.col("upto") > since))
+    best = hits.groupBy(*POINT).agg(F.max_by(F.struct("num", "txt"), "upto").alias("p")).select(*POINT, "p.num", "p.txt")
     alive = _latest(log.where(between(F.col("value_date"), start, end))).where("op <> 'drop'").select("series_id").distinct()
     return best.join(alive, "series_id", "left_semi")
 

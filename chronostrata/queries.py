@@ -12,7 +12,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.columns import bisect
+from .functions.columns import bisect, overlaps
 from .functions.schedule import schedule
 from .operators import groups as G
 from .operators import search as S
@@ -329,6 +329,10 @@ _FIND = {
     "find_metaitem": ('(by.metaitem "k" 42)', f"{_NUM} AND {_K} = 42"),
     "find_metaitem_text": ('(by.metaitem "k" "42")', "json_type(metadata, '$.k') = 'VARCHAR' AND metadata->>'k' = '42'"),
     "find_cmp": ('(>= "k" 90)', f"{_NUM} AND {_K} >= 90"),
+    "find_at_most": ('(<= "k" 10)', f"{_NUM} AND {_K} <= 10"),
+    "find_more": ('(> "k" 90)', f"{_NUM} AND {_K} > 90"),
+    "find_equal": ('(= "k" 7)', f"{_NUM} AND {_K} = 7"),
+    "find_equal_text": ('(= "unit" "MWh")', "json_type(metadata, '$.unit') = 'VARCHAR' AND metadata->>'unit' = 'MWh'"),
     "find_cmp_text": ('(< "unit" "N")', "json_type(metadata, '$.unit') = 'VARCHAR' AND metadata->>'unit' < 'N'"),
     "find_and_or_not": ('(by.and (by.tzaware) (by.or (by.name "error") (by.metaitem "unit" "MWh")) (by.not (< "k" 50)))', f"tzaware AND (name LIKE '%error%' OR metadata->>'unit' = 'MWh') AND NOT coalesce({_NUM} AND {_K} < 50, false)"),
     "find_source": ('(by.and (by.source "far") (by.name "click"))', "source = 'far' AND name LIKE '%click%'"),
@@ -350,18 +354,46 @@ def find_limit(spark: SparkSession, d: str) -> DataFrame:
 
 @query("federated_find", f"WITH {_REGISTRY} SELECT name, source FROM registry WHERE source = 'local' AND tzaware OR source = 'far' AND name LIKE '%view%'")
 def federated_find(spark: SparkSession, d: str) -> DataFrame:
-    """Each source answers its own pruned query."""
-    tree = S.parse('(by.or (by.and (by.source "local") (by.tzaware)) (by.and (by.source "far") (by.name "view")))')
+    return _federated(spark, d, '(by.or (by.and (by.source "local") (by.tzaware)) (by.and (by.source "far") (by.name "view")))')
+
+
+def _federated(spark: SparkSession, d: str, text: str) -> DataFrame:
+    """Each source answers its own query, in which tests of the source are folded away."""
     rows, out = registry(spark, d), None
     for source in ("local", "far"):
-        mine = S.prune_by_source(source, tree)
-        if mine is None:
-            continue
-        part = rows.where(F.col("source") == source).where(S.predicate(S.remove_by_source(mine) or S.Query("by.everything"))).select("name", "source")
+        mine = S.for_source(source, S.parse(text))
+        part = rows.where(F.col("source") == source).where(S.predicate(mine) if mine else F.lit(False)).select("name", "source")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+@query("federated_find_not", f"WITH {_REGISTRY} SELECT name, source FROM registry WHERE NOT source = 'far' AND NOT (source = 'local' AND NOT tzaware)")
+def federated_find_not(spark: SparkSession, d: str) -> DataFrame:
+    return _federated(spark, d, '(by.and (by.not (by.source "far")) (by.not (by.and (by.source "local") (by.not (by.tzaware)))))')
+
+
+@query("federated_find_or", f"WITH {_REGISTRY} SELECT name, source FROM registry WHERE source = 'far' OR name LIKE '%view%'")
+def federated_find_or(spark: SparkSession, d: str) -> DataFrame:
+    return _federated(spark, d, '(by.or (by.source "far") (by.name "view"))')
+
+
+@query("overlaps", f"WITH {_LOG}, {_REVISIONS} SELECT series_id, rev, coalesce(ts_end >= TIMESTAMP '2024-01-05 00:00:00' AND ts_start <= TIMESTAMP '2024-01-06 00:00:00', false) AS meets FROM revisions")
+def overlaps_query(spark: SparkSession, d: str) -> DataFrame:
+    meets = overlaps(F.col("ts_start"), F.col("ts_end"), "2024-01-05 00:00:00", "2024-01-06 00:00:00")
+    return revisions(spark, d).select("series_id", "rev", F.coalesce(meets, F.lit(False)).alias("meets"))
+
+
+@query("revision_at_strict", f"WITH {_LOG} SELECT series_id, min(rev) AS rev FROM log WHERE insertion_date = (SELECT min(ts) FROM events WHERE event_id = 200) GROUP BY series_id")
+def revision_at_strict(spark: SparkSession, d: str) -> DataFrame:
+    moment = _events(spark, d).where("event_id = 200").agg(F.min(F.col("ts").cast("timestamp_ntz")).cast("string")).first()[0]
+    return B.revision_at(revisions(spark, d), moment or T1)
+
+
+@query("revision_at_before", f"WITH {_LOG} SELECT series_id, min(rev) AS rev FROM log WHERE insertion_date <= '{T1}' GROUP BY series_id")
+def revision_at_before(spark: SparkSession, d: str) -> DataFrame:
+    return B.revision_at(revisions(spark, d), T1, "before")
+
+
 @query("bisect", "SELECT p_partkey, CASE WHEN p_size > 45 THEN 5 ELSE len(list_filter([5, 15, 25, 35, 45], lambda x: x <= p_size)) - 1 END AS j FROM part")
 def bisect_query(spark: SparkSession, d: str) -> DataFrame:
     edges = F.array(*(F.lit(x) for x in (5, 15, 25, 35, 45)))

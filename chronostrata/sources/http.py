@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import math
 import threading
+from base64 import b64encode
 from datetime import datetime, timedelta
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import Any
@@ -60,7 +61,7 @@ class _Handler(BaseHTTPRequestHandler):
         """Nothing is printed for a request."""
 
     def _answer(self, status: int, body: Any) -> None:
-        raw = json.dumps(body).encode()
+        raw = b"" if status == 204 else json.dumps(body).encode()
         self.send_response(status)
         self.send_header("Content-Type", "application/json")
         self.send_header("Content-Length", str(len(raw)))
@@ -130,13 +131,13 @@ class _Handler(BaseHTTPRequestHandler):
         return 200, pack(self.tsa.get(name, **self._bounds(a, "revision_date", "from_value_date", "to_value_date"), _keep_nans=a.get("_keep_nans") == "1"))
 
     def put_series_state(self, a: dict[str, Any]) -> tuple[int, Any]:
-        return 200, self.tsa.rename(self._known(a), a["newname"])
+        return 204, self.tsa.rename(self._known(a), a["newname"])
 
     def delete_series_state(self, a: dict[str, Any]) -> tuple[int, Any]:
-        return 200, self.tsa.delete(self._known(a))
+        return 204, self.tsa.delete(self._known(a))
 
     def put_series_strip(self, a: dict[str, Any]) -> tuple[int, Any]:
-        return 200, self.tsa.strip(self._known(a), _when(a["insertion_date"]))
+        return 204, self.tsa.strip(self._known(a), _when(a["insertion_date"]))
 
     def get_series_insertion_dates(self, a: dict[str, Any]) -> tuple[int, Any]:
         dates = self.tsa.insertion_dates(self._known(a), **self._bounds(a, "from_insertion_date", "to_insertion_date", "from_value_date", "to_value_date"))
@@ -162,7 +163,7 @@ class _Handler(BaseHTTPRequestHandler):
         return 200, [[str(x), x.imeta, x.meta, x.source, x.kind] for x in found]
 
     def get_series_log(self, a: dict[str, Any]) -> tuple[int, Any]:
-        rows = self.tsa.log(self._known(a), int(a["limit"]) if "limit" in a else None, _when(a.get("fromdate")), _when(a.get("todate")))
+        rows = self.tsa.log(self._known(a), int(a["limit"]) if "limit" in a else None, _when(a.get("fromdate")), _when(a.get("todate")), json.loads(a["authors"]) if "authors" in a else None)
         return 200, [{**r, "date": r["date"].isoformat()} for r in rows]
 
     def get_series_basket(self, a: dict[str, Any]) -> tuple[int, Any]:
@@ -190,10 +191,10 @@ class _Handler(BaseHTTPRequestHandler):
         return 200, _frame(self.tsa.group_get(self._group(a), **self._bounds(a, "revision_date", "from_value_date", "to_value_date")))
 
     def put_group_state(self, a: dict[str, Any]) -> tuple[int, Any]:
-        return 200, self.tsa.group_rename(self._group(a), a["newname"])
+        return 204, self.tsa.group_rename(self._group(a), a["newname"])
 
     def delete_group_state(self, a: dict[str, Any]) -> tuple[int, Any]:
-        return 200, self.tsa.group_delete(self._group(a))
+        return 204, self.tsa.group_delete(self._group(a))
 
     def get_group_insertion_dates(self, a: dict[str, Any]) -> tuple[int, Any]:
         return 200, [d.isoformat() for d in self.tsa.group_insertion_dates(self._group(a), **self._bounds(a, "from_insertion_date", "to_insertion_date"))]
@@ -223,21 +224,26 @@ def serve(tsa: TimeSeries, host: str = "127.0.0.1", port: int = 0) -> ThreadingH
 class Client:
     """The methods of TimeSeries, answered by a server. It may be a secondary source of a TimeSeries."""
 
-    def __init__(self, uri: str) -> None:
-        self.uri = uri.rstrip("/")
+    def __init__(self, uri: str, auth: dict[str, str] | None = None) -> None:
+        """auth: login and password, or token."""
+        self.uri, self._headers = uri.rstrip("/"), {"Content-Type": "application/json"}
+        if auth and "token" in auth:
+            self._headers["Authorization"] = f"Bearer {auth['token']}"
+        elif auth:
+            self._headers["Authorization"] = "Basic " + b64encode(f"{auth['login']}:{auth['password']}".encode()).decode()
         self.store = type("Remote", (), {"namespace": "tsh"})()
 
     def _call(self, verb: str, route: str, missing: Any = None, **args: Any) -> Any:
         args = {k: v.isoformat() if isinstance(v, datetime) else v for k, v in args.items() if v is not None}
         url, body = f"{self.uri}/{route}", None
         if verb == "GET":
-            flat = {k: str(int(v)) if isinstance(v, bool) else json.dumps(v) if isinstance(v, dict) else v for k, v in args.items()}
+            flat = {k: str(int(v)) if isinstance(v, bool) else json.dumps(v) if isinstance(v, (dict, list)) else v for k, v in args.items()}
             url += "?" + urlencode(flat)
         else:
             body = json.dumps(args).encode()
         try:
-            with urlopen(Request(url, body, {"Content-Type": "application/json"}, method=verb), timeout=600) as r:
-                return json.loads(r.read())
+            with urlopen(Request(url, body, self._headers, method=verb), timeout=600) as r:
+                return None if r.status == 204 else json.loads(r.read())
         except HTTPError as e:
             text = json.loads(e.read())
             if e.code == 404 and text != "no such route":
@@ -303,9 +309,31 @@ class Client:
             raise ValueError(f"no series {name!r}")
         return pd.Interval(*map(pd.Timestamp, out), closed="both")
 
-    def log(self, name: str, limit: int | None = None, fromdate: datetime | None = None, todate: datetime | None = None) -> list[dict[str, Any]]:
+    def log(self, name: str, limit: int | None = None, fromdate: datetime | None = None, todate: datetime | None = None, authors: list[str] | None = None) -> list[dict[str, Any]]:
         """As TimeSeries.log."""
-        return [{**r, "date": pd.Timestamp(r["date"])} for r in self._call("GET", "series/log", [], name=name, limit=limit, fromdate=fromdate, todate=todate)]
+        return [{**r, "date": pd.Timestamp(r["date"])} for r in self._call("GET", "series/log", [], name=name, limit=limit, fromdate=fromdate, todate=todate, authors=authors)]
+
+    def first_insertion_date(self, name: str) -> pd.Timestamp | None:
+        """As TimeSeries.first_insertion_date."""
+        return min(self.insertion_dates(name), default=None)
+
+    def latest_insertion_date(self, name: str) -> pd.Timestamp | None:
+        """As TimeSeries.latest_insertion_date."""
+        return max(self.insertion_dates(name), default=None)
+
+    def last_id(self, name: str) -> int | None:
+        """As TimeSeries.last_id."""
+        rows = self.log(name, 1)
+        return rows[-1]["rev"] if rows else None
+
+    def changeset_at(self, name: str, moment: datetime, mode: str = "strict") -> int | None:
+        """As TimeSeries.changeset_at."""
+        if mode not in ("strict", "before", "after"):
+            raise ValueError(f"unknown mode {mode!r}")
+        moment = pd.Timestamp(moment)
+        moment = moment.tz_localize("UTC") if moment.tz is None else moment
+        rows = self.log(name, fromdate=None if mode == "before" else moment, todate=None if mode == "after" else moment)
+        return rows[0]["rev"] if rows else None
 
     def rename(self, old: str, new: str) -> None:
         """As TimeSeries.rename."""
@@ -346,10 +374,10 @@ class Client:
     def _find(self, source: str, tree: Any, limit: int | None, meta: bool) -> list[Descriptor]:
         from ..operators import search as S
 
-        mine = S.prune_by_source(source, tree)
+        mine = S.for_source(source, tree)
         if mine is None:
             return []
-        found = self.find((S.remove_by_source(mine) or S.Query("by.everything")).expr(), limit, meta)
+        found = self.find(mine.expr(), limit, meta)
         return [Descriptor(x, x.imeta, x.meta, source, x.kind) for x in found if x.source == "local"]
 
     def register_basket(self, name: str, query: str) -> None:
@@ -423,8 +451,8 @@ class Client:
         return {(a, b): [tuple(x) for x in v] for a, b, v in self._call("GET", "group/catalog")}
 
 
-def open_store(spark: Any, uri: str, namespace: str = "tsh", secondaries: dict[str, Any] | None = None) -> TimeSeries | Client:
+def open_store(spark: Any, uri: str, namespace: str = "tsh", secondaries: dict[str, Any] | None = None, auth: dict[str, str] | None = None) -> TimeSeries | Client:
     """A client for an http address, else a store in a folder."""
     if uri.startswith(("http://", "https://")):
-        return Client(uri)
+        return Client(uri, auth)
     return TimeSeries(spark, uri, namespace, secondaries)

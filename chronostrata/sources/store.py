@@ -3,16 +3,20 @@
 Under <root>/<namespace>/ lie points and revisions, a folder for each commit, and _commits/, a JSON file
 for each. A writer writes its data first and then creates its commit file, which fails if another writer
 took the number; readers see what commit files name. Registry, metadata, baskets and groups are changes in
-the commit files, replayed by the reader. Nothing is overwritten until compact() writes all anew.
+the commit files, replayed by the reader from the last of the states that are written every EVERY commits.
+A commit is tried on a copy of the state before it is written, and one that can't be replayed has no effect.
+Nothing is overwritten: compact() writes all anew, and garbage() deletes what nothing names any more, when
+it is older than readers may need it.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterable
-from dataclasses import dataclass, field
-from datetime import datetime
+from dataclasses import asdict, dataclass, field, replace
+from datetime import datetime, timedelta
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +25,10 @@ from pyspark.sql import functions as F
 from ..plans import bitemporal as B
 
 FORMAT = 1
+#: Commits from one written state to the next.
+EVERY = 64
+#: Cuts up to which they are broadcast.
+CUTS = 1_000_000
 
 
 class ConcurrentWrite(RuntimeError):
@@ -41,14 +49,19 @@ class State:
     next_id: int = 1
 
     def apply(self, change: dict[str, Any]) -> None:
-        """Replays a change."""
+        """Replays a change; ValueError if it can't be."""
         kind, name = change["kind"], change.get("name")
         table = self.groups if change.get("group") else self.series
+        what = "group" if change.get("group") else "series"
+        if kind in ("set", "rename", "delete") and name not in table:
+            raise ValueError(f"no {what} {name!r}")
+        if kind == "create" and name in table or kind == "rename" and change["to"] in table:
+            raise ValueError(f"{change.get('to', name)} already exists")
         if kind == "create":
             table[name] = change["entry"]
             self.next_id = max(self.next_id, *(i + 1 for i in _ids(change["entry"])))
         elif kind == "set":
-            table[name].update(change["entry"])
+            table[name] = {**table[name], **change["entry"]}
         elif kind == "rename":
             table[change["to"]] = table.pop(name)
         elif kind == "delete":
@@ -60,6 +73,22 @@ class State:
             self.baskets[name] = change["query"]
         elif kind == "drop_basket":
             self.baskets.pop(name, None)
+        else:
+            raise ValueError(f"unknown change {kind!r}")
+
+    def after(self, commit: dict[str, Any], version: int) -> "State":
+        """The state after a commit; ValueError if it can't be replayed. This one stays as it is."""
+        if commit["format"] != FORMAT:
+            raise RuntimeError(f"store format {commit['format']}; this is {FORMAT}")
+        s = State() if commit.get("snapshot") else replace(self, points=[*self.points], revisions=[*self.revisions], cuts=[*self.cuts], series={**self.series}, groups={**self.groups}, baskets={**self.baskets})
+        s.version = version
+        for change in commit["changes"]:
+            s.apply(change)
+        if commit.get("snapshot"):
+            s.next_id = max(s.next_id, commit["next_id"])
+        s.points += commit["points"]
+        s.revisions += commit["revisions"]
+        return s
 
 
 def _ids(entry: dict[str, Any]) -> list[int]:
@@ -82,6 +111,11 @@ class Files:
         p = self._path(folder)
         return sorted(s.getPath().getName() for s in self.fs.listStatus(p)) if self.fs.exists(p) else []
 
+    def older(self, folder: str, moment: float) -> list[str]:
+        """Names in a folder of what was last changed before a moment, in seconds."""
+        p = self._path(folder)
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(p) if s.getModificationTime() < moment * 1000) if self.fs.exists(p) else []
+
     def read(self, name: str) -> str:
         """A text file."""
         stream = self.fs.open(self._path(name))
@@ -115,33 +149,50 @@ class Store:
         self.files = Files(spark, f"{root.rstrip('/')}/{namespace}")
         self._state = State()
 
+    def _json(self, name: str) -> dict[str, Any]:
+        """A JSON file; one that is being written is waited for."""
+        for _ in range(50):
+            try:
+                return json.loads(self.files.read(name))
+            except json.JSONDecodeError:
+                time.sleep(0.1)
+        raise RuntimeError(f"{name} isn't complete")
+
     def state(self) -> State:
         """The committed state; only new commit files are read."""
-        for name in self.files.names("_commits"):
+        names = self.files.names("_commits")
+        if names and int(names[-1].split(".")[0]) > self._state.version + EVERY:
+            for name in reversed(self.files.names("_states")):
+                if int(name.split(".")[0]) <= self._state.version:
+                    break
+                try:
+                    self._state = State(**json.loads(self.files.read(f"_states/{name}")))
+                    break
+                except json.JSONDecodeError:
+                    continue  # not complete: an earlier one does
+        for name in names:
             version = int(name.split(".")[0])
             if version <= self._state.version:
                 continue
-            commit = json.loads(self.files.read(f"_commits/{name}"))
-            if commit["format"] != FORMAT:
-                raise ValueError(f"store format {commit['format']}; this is {FORMAT}")
-            s = State() if commit.get("snapshot") else self._state
-            s.version = version
-            for change in commit["changes"]:
-                s.apply(change)
-            if commit.get("snapshot"):
-                s.next_id = max(s.next_id, commit["next_id"])
-            s.points += commit["points"]
-            s.revisions += commit["revisions"]
-            self._state = s
+            try:
+                self._state = self._state.after(self._json(f"_commits/{name}"), version)
+            except ValueError:
+                self._state = replace(self._state, version=version)  # it has no effect
         return self._state
 
     def commit(self, changes: Iterable[dict[str, Any]], points: list[str] = (), revisions: list[str] = (), base: int | None = None, **more: Any) -> int:
-        """Makes changes and written folders visible; ConcurrentWrite if the store is past `base`."""
-        version = (self.state().version if base is None else base) + 1
+        """Makes changes and written folders visible; ConcurrentWrite if the store is past `base`, ValueError if a change can't be made."""
+        now = self.state()
+        if base is not None and now.version != base:
+            raise ConcurrentWrite(f"version {base + 1} of {self.namespace} is taken")
+        version = now.version + 1
         body = {"format": FORMAT, "changes": list(changes), "points": list(points), "revisions": list(revisions), **more}
+        after = now.after(body, version)
         if not self.files.create(f"_commits/{version:012d}.json", json.dumps(body)):
             raise ConcurrentWrite(f"version {version} of {self.namespace} is taken")
-        self.state()
+        self._state = after
+        if version % EVERY == 0:
+            self.files.create(f"_states/{version:012d}.json", json.dumps(asdict(after)))
         return version
 
     def write(self, df: DataFrame, kind: str) -> str:
@@ -164,7 +215,8 @@ class Store:
         if not cuts:
             return df
         rows = self.spark.createDataFrame([(c["series"], c["rev"], c["version"]) for c in cuts], "series_id bigint, cut bigint, upto bigint")
-        cut = F.broadcast(rows.groupBy("series_id").agg(F.collect_list(F.struct("cut", "upto")).alias("cuts")))  # one row a series that was ever cut since compact()
+        cut = rows.groupBy("series_id").agg(F.collect_list(F.struct("cut", "upto")).alias("cuts"))  # one row a series that was ever cut since compact()
+        cut = F.broadcast(cut) if len(cuts) <= CUTS else cut
         gone = F.coalesce(F.exists("cuts", lambda c: (F.col("rev") >= c["cut"]) & (F.col("version") <= c["upto"])), F.lit(False))
         return df.join(cut, "series_id", "left").where(~gone).drop("cuts")
 
@@ -210,16 +262,23 @@ class Store:
         self.commit(changes, [folder], [rfolder], base)
 
     def compact(self) -> None:
-        """Writes all that is visible anew as one snapshot, and deletes what older commits hold."""
+        """Writes all that is visible anew as one snapshot. What older commits hold stays for those who are reading it, until garbage()."""
         s = self.state()
         version = s.version + 1
         stamp = F.lit(version).cast("bigint").alias("version")
-        folder = self.write(self.log().select("*", stamp).repartition("series_id"), "points")
+        # ranges of series and dates: a series of many points is in several
+        folder = self.write(self.log().select("*", stamp).repartitionByRange("series_id", "value_date"), "points")
         rfolder = self.write(self.revisions().select("*", stamp), "revisions")
         changes = [{"kind": "create", "name": n, "entry": e} for n, e in s.series.items()]
         changes += [{"kind": "create", "name": n, "entry": e, "group": True} for n, e in s.groups.items()]
         changes += [{"kind": "basket", "name": n, "query": q} for n, q in s.baskets.items()]
-        old = [*s.points, *s.revisions]
         self.commit(changes, [folder], [rfolder], s.version, snapshot=True, next_id=s.next_id)
-        for x in old:
+
+    def garbage(self, grace: timedelta = timedelta(days=1)) -> list[str]:
+        """Deletes folders that the state doesn't name (of compacted or failed commits) and that are older than the grace time; their names."""
+        s = self.state()
+        named, moment = {*s.points, *s.revisions}, time.time() - grace.total_seconds()
+        gone = [f"{kind}/{x}" for kind in ("points", "revisions") for x in self.files.older(kind, moment) if f"{kind}/{x}" not in named]
+        for x in gone:
             self.files.delete(x)
+        return gone

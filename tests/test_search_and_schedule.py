@@ -1,10 +1,14 @@
+import random
 from datetime import datetime
 
+import pandas as pd
 import pytest
 
 from chronostrata.functions import schedule as C
+from chronostrata.functions.schedule import schedule
 from chronostrata.operators import groups as G
 from chronostrata.operators import search as S
+from chronostrata.plans import bitemporal as B
 
 
 def names(spark, text):
@@ -51,14 +55,60 @@ def test_syntax():
             S.parse(text)
 
 
-def test_sources():
-    tree = S.parse('(by.or (by.and (by.source "a") (by.tzaware)) (by.and (by.source "b") (by.name "x")))')
-    assert S.remove_by_source(S.prune_by_source("a", tree)).expr() == "(by.tzaware)"
-    assert S.remove_by_source(S.prune_by_source("b", tree)).expr() == '(by.name "x")'
-    assert S.prune_by_source("c", tree) is None
-    no = S.parse('(by.not (by.source "a"))')
-    assert S.prune_by_source("b", no) is None and S.remove_by_source(S.prune_by_source("a", no)) is None
-    assert S.prune_by_source("a", S.parse('(by.and (by.source "a") (by.source "b"))')) is None
+def test_sources_fold_away():
+    ask = lambda source, text: (q := S.for_source(source, S.parse(text))) and q.expr()
+    tree = '(by.or (by.and (by.source "a") (by.tzaware)) (by.and (by.source "b") (by.name "x")))'
+    assert ask("a", tree) == "(by.tzaware)" and ask("b", tree) == '(by.name "x")' and ask("c", tree) is None
+    assert ask("a", '(by.not (by.source "a"))') is None and ask("b", '(by.not (by.source "a"))') == "(by.everything)"
+    assert ask("a", '(by.and (by.source "a") (by.source "b"))') is None
+    assert ask("a", '(by.or (by.source "a") (by.name "x"))') == "(by.everything)" and ask("b", '(by.or (by.source "a") (by.name "x"))') == '(by.name "x")'
+    assert ask("b", '(by.not (by.and (by.source "a") (by.name "x")))') == "(by.everything)" and ask("a", '(by.not (by.and (by.source "a") (by.name "x")))') == '(by.not (by.name "x"))'
+
+
+def replay(states, start, end, freq, time, tz, late, maturity):
+    """A block staircase step by step over states (date -> {value date: value}), as it is defined."""
+    shift = lambda spec: pd.offsets.BusinessDay(spec["bdays"]) if "bdays" in spec else pd.DateOffset(**spec) if spec else pd.DateOffset(days=0)
+    put = lambda t, spec: t.replace(**{k: v for k, v in spec.items() if k != "weekday"}) if "weekday" not in spec else (t + pd.DateOffset(**spec))
+    block = lambda r: put(r + shift(late), maturity)
+    r = put(put(start.tz_convert(tz), maturity) - shift(late), time)
+    while block(r) > start:
+        r = r - shift(freq)
+    out = {}
+    while block(r) <= end:
+        known = [d for d in states if d <= r]
+        state = states[max(known)] if known else {}
+        out.update({v: x for v, x in state.items() if max(block(r), start) <= v <= end})
+        r = r + shift(freq)
+    return out
+
+
+@pytest.mark.parametrize("tz", ["UTC", "Europe/Brussels", "America/New_York"])
+@pytest.mark.parametrize("freq, time, late, maturity", [
+    ({"days": 1}, {"hour": 0}, {}, {}), ({"days": 1}, {"hour": 9}, {"days": 1}, {"hour": 6}), ({"bdays": 1}, {"hour": 10}, {"bdays": 1}, {"hour": 0}),
+    ({"hours": 6}, {"hour": 3}, {"hours": 12}, {}), ({"weeks": 1}, {"weekday": 0, "hour": 8}, {"days": 2}, {"hour": 0}), ({"days": 2}, {"hour": 23}, {"hours": 5}, {"minute": 30}), ({"months": 1}, {"day": 1, "hour": 0}, {"weeks": 1}, {}),
+])
+def test_block_staircases_are_those_of_a_replay(spark, tz, freq, time, late, maturity):
+    rng = random.Random(str((tz, freq, time)))
+    for first in ("2024-03-25", "2024-10-20", "2024-02-01"):
+        states, rows, now = {}, [], {}
+        date = pd.Timestamp(first, tz="UTC") - pd.Timedelta(days=6)
+        for rev in range(1, 45):
+            date += pd.Timedelta(minutes=rng.choice([37, 360, 725, 1440]))
+            for _ in range(12):
+                v = pd.Timestamp(first, tz="UTC") + pd.Timedelta(hours=rng.randrange(0, 24 * 14))
+                if any(r[1] == rev and r[3] == v for r in rows):
+                    continue
+                op = rng.choice(["set", "set", "set", "erase"])
+                x = float(rev) if op == "set" else None
+                now = {**{k: y for k, y in now.items() if k != v}, **({v: x} if op == "set" else {})}
+                rows.append((1, rev, date, v, op, x, None))
+            states[date] = now
+        start, end = pd.Timestamp(first, tz="UTC") + pd.Timedelta(hours=30), pd.Timestamp(first, tz="UTC") + pd.Timedelta(days=12)
+        plain = lambda t: t.tz_localize(None).to_pydatetime()
+        log = spark.createDataFrame([(i, r, plain(d), plain(v), o, x, t) for i, r, d, v, o, x, t in rows], B.LOG)
+        plan = schedule(plain(start), plain(end), True, freq, time, tz, late, maturity)
+        got = {pd.Timestamp(r["value_date"], tz="UTC"): r["num"] for r in B.block_staircase(log, plan, plain(start), plain(end)).collect()}
+        assert got == replay(states, start, end, freq, time, tz, late, maturity), (first, tz)
 
 
 def test_schedule():
