@@ -13,8 +13,8 @@ register, so that a document costs about (elements + M log M) steps and not thei
 Sketches are cut into bands, texts that agree in a band meet in a bucket, and in each bucket the
 similarity is computed exactly, from whole texts. Linked texts form groups (connected components).
 
-A text of a bucket is compared with the first of each group found so far in it; pairs of texts that are still in different groups are then
-told by a bound first: J_P is at most the sum of the smaller shares of the shingles that both have, which
+A text of a bucket is compared with the first of each group found so far in it; in buckets of more than FEW
+texts, pairs that are still in different groups are then told by a bound first: J_P is at most the sum of the smaller shares of the shingles that both have, which
 matrices of the shared shingles give for all pairs at once. A bucket of more than BLOCK texts is cut into
 blocks, each a task of its own that has PIVOTS texts of the bucket too, so that copies in different
 blocks come together. What is then not in the bucket's largest group is compared with all its blocks, in a grid of tasks. So a bucket of
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, fresh, materialise, slices, small, trim
+from .common import discard, fresh, materialise, slices, small
 from .words import mix, shingles, word_hashes
 
 REGISTERS, ROWS = 128, 4
@@ -46,6 +46,8 @@ REGISTERS, ROWS = 128, 4
 THRESHOLD = 0.5
 #: Texts of a block of a bucket, and those of the bucket that all its blocks have.
 BLOCK, PIVOTS = 1000, 4
+#: Texts up to which all pairs are compared without looking at a bound first.
+FEW = 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -173,14 +175,22 @@ def link(sets: list[tuple[np.ndarray, np.ndarray]], threshold: float, pivots: in
     n = len(sets)
     groups = Groups(np.arange(n))
     firsts: list[int] = []
+    tested = set()
     for i in range(n):
         for j in firsts:
-            if groups.of[i] != groups.of[j] and probability_jaccard(sets[i], sets[j]) >= threshold:
-                groups.join(i, j)
+            if groups.of[i] != groups.of[j]:
+                tested.add((i, j))
+                if probability_jaccard(sets[i], sets[j]) >= threshold:
+                    groups.join(i, j)
         if groups.of[i] == i and len(firsts) < pivots:
             firsts.append(i)
-    if n > pivots or len(np.unique(groups.of)) < n:  # else all pairs have been compared
+    if n > FEW:
         across(sets, sets, groups, np.arange(n), np.arange(n), threshold)
+    else:
+        for i in range(n):
+            for j in range(i):
+                if groups.of[i] != groups.of[j] and (i, j) not in tested and probability_jaccard(sets[i], sets[j]) >= threshold:
+                    groups.join(i, j)
     return groups.of
 
 
@@ -219,9 +229,7 @@ def _verify(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         texts = dict(zip(table.column("id").to_pylist(), table.column("text").to_pylist()))
         ids = sorted(texts)
-        out = _edges(np.array(ids), link(weighted(pa.array([texts[i] for i in ids], pa.string())), threshold))
-        trim()
-        return out
+        return _edges(np.array(ids), link(weighted(pa.array([texts[i] for i in ids], pa.string())), threshold))
 
     return run
 
@@ -241,9 +249,7 @@ def _verify_grid(threshold: float):
         if a and b:
             sets = [weighted(pa.array([sides[m][i][0] for i in x], pa.string())) for m, x in ((True, a), (False, b))]
             across(*sets, groups, np.array([number[i] for i in a]), np.array([number[i] for i in b]), threshold)
-        out = _edges(np.array(ids), groups.of) if ids else _edges(np.zeros(0, np.int64), np.zeros(0, np.int64))
-        trim()
-        return out
+        return _edges(np.array(ids), groups.of)
 
     return run
 
@@ -294,14 +300,14 @@ def _members(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
     placed = materialise(placed.select("band", "n", "block", "cid"), "placed")
     wanted = placed.select("cid").distinct()
     wanted = materialise(wanted.join(one.select("cid", "rep.id", "rep.hash"), "cid"), "wanted")
-    texts = materialise(base.join(small(wanted, wanted.count()), ["id", "hash"]).select("cid", "text").dropDuplicates(["cid"]), "texts")
+    texts = base.join(small(wanted, wanted.count()), ["id", "hash"]).select("cid", "text").dropDuplicates(["cid"])
     large = placed.where(F.col("n") > BLOCK)
     first = large.groupBy("band").agg(F.slice(F.sort_array(F.collect_set(F.when(F.col("block") < 1, F.col("cid")))), 1, PIVOTS).alias("cids"), F.max("n").alias("n"))
     pivots = first.select("band", F.explode("cids").alias("cid"), "n").select("band", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / BLOCK) - 1).cast("int"))).alias("block"), "cid")
     cells = placed.select("band", "block", "cid").unionByName(pivots)
     pairs = cells.join(texts, "cid").select("band", "block", F.col("cid").alias("id"), "text").groupBy("band", "block").applyInArrow(_verify(threshold), "a bigint, b bigint")
     linked = components(pairs)
-    spent = [sketched, one, bucket, placed, wanted, texts]
+    spent = [sketched, one, bucket, placed, wanted]
     if large.limit(1).count():
         grouped = large.join(linked.select(F.col("a").alias("cid"), "b"), "cid", "left").select("band", "n", "block", "cid", F.coalesce("b", "cid").alias("group"))
         grouped = materialise(grouped, "grouped")
