@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import sys
 import tempfile
@@ -50,6 +51,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: The tables written in each open scratch().
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch(*kept: DataFrame) -> Iterator[list[DataFrame]]:
+    """Deletes, at its end, the tables that operators write in it, but for those added to the list that it gives.
+
+    Results are computed when they are written: with scratch(): operator(docs).write.parquet(path).
+    """
+    keep = list(kept)
+    _OPEN.append([])
+    try:
+        yield keep
+    finally:
+        written = _OPEN.pop()
+        discard(*(df for df in written if not any(df is k for k in keep)))
+        if _OPEN:
+            _OPEN[-1] += [df for df in written if any(df is k for k in keep)]
+
+
 def materialise(df: DataFrame, stem: str) -> DataFrame:
     """df written as a table in the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -57,11 +79,13 @@ def materialise(df: DataFrame, stem: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes what materialise() wrote, when nothing that is still to be computed reads it."""
+    """Deletes what materialise() wrote, when nothing that is still to be computed reads it; what is gone already is let pass."""
     for df in tables:
         jvm = df.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(df.written_to)

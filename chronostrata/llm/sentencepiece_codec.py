@@ -441,6 +441,6 @@ def decode(encoded: DataFrame, ids_col: str = "ids", into: str = "text", model:
             yield pa.RecordBatch.from_arrays([a for _, a in kept] + [pa.array(texts, pa.string())], [x for x, _ in kept] + [into])
 
     rest = encoded.drop(ids_col)
-    if into in rest.columns:
+    if into.lower() in (c.lower() for c in rest.columns):
         raise ValueError(f"there is a column {into} already")
     return encoded.mapInArrow(run, rest.schema.add(into, "string"))

@@ -6,7 +6,7 @@ and its L1 term leaves most weights at exactly zero, so that the weights that ar
 
 The classifier is fitted on at most SAMPLE labelled documents of the table, those with the smallest hash of
 their id; every document is scored, over its whole text. The cut is chosen on a held-out part of the sample.
-Ids may be of any type. Nulls: labels without an id, a label or a document aren't used, and of several labels
+Ids may be of any type; those of labels are taken as of the documents' type, and not used where they aren't. Nulls: labels without an id, a label or a document aren't used, and of several labels
 of one document the largest counts, of several texts of one id the first by its features; null and wordless
 texts score as the bias alone. Without labels nothing is toxic. Extra columns are ignored (scores) or kept
 (keep_clean).
@@ -116,7 +116,7 @@ def choose_cut(rows: list[tuple[np.ndarray, int]]) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float, float]:
     """The model of fit() and its cut, fitted in one executor task on the sample; only the weights come to the driver."""
-    y = labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
+    y = labels.select(F.col(label_id).try_cast(docs.schema[id_col].dataType).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     # only labels of documents that are there take up places
     y = y.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi").groupBy("id").agg(F.max("y").alias("y"))
     y = y.withColumn("at", F.xxhash64("id")).orderBy("at", "id").limit(sample)

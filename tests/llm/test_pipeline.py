@@ -2,6 +2,7 @@ from collections import Counter
 
 import corpus_pipeline as C
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from chronostrata.llm import mixing, pii, probminhash, toxicity
 from chronostrata.llm.sentencepiece_codec import MODEL
@@ -39,3 +40,27 @@ def test_stages_keep_the_columns(spark, sf, odd, none):
             df = stage(spark, df, sf)
             assert df.columns == odd.columns, name
         assert C.STAGES[-1][1](spark, df, sf).count() == df.count()
+
+
+def test_a_run_leaves_the_last_table_alone(spark, sf):
+    import os
+
+    from chronostrata.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = C.run(spark, sf)
+    left = [x for x in os.listdir(folder) if x not in before]
+    assert len(left) == 1 and left[0].startswith("mixing") and out.count() > 100
+
+
+def test_ids_of_text_pass_through_all_stages(spark, sf, documents, labels):
+    docs = documents.withColumn("doc_id", F.format_string("n%06d", "doc_id")).unionByName(documents.limit(3).withColumn("doc_id", F.lit("n000000")))
+    df = docs
+    for name, stage in C.STAGES:
+        df = stage(spark, df, sf)
+        if name != "tokens":
+            assert df.schema["doc_id"].dataType.typeName() == "string" and df.columns == documents.columns
+    assert df.select("doc_id").distinct().count() > 100
+    # labels of other ids: none is used, nothing is rejected
+    assert toxicity.keep_clean(docs, labels).count() == docs.count()
