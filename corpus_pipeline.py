@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronostrata.llm.common import materialise
+from chronostrata.llm.common import discard, materialise, scratch
 from chronostrata.llm.mixing import mix
 from chronostrata.llm.pii import redact
 from chronostrata.llm.probminhash import keep_one
@@ -50,9 +50,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialise(docs, name)
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in STAGES[:-1]:
+        with scratch() as kept:  # what a stage has written for itself goes with it
+            docs = materialise(stage(spark, docs, sf_dir), name)
+            kept.append(docs)
+        discard(*before)
+        before = [docs]
+    return STAGES[-1][1](spark, docs, sf_dir)
