@@ -1,4 +1,4 @@
-"""A REST server over a TimeSeries object, and a client with the same methods; standard library only, JSON bodies.
+"""A REST server over a TimeSeries object, and a client with the same methods; JSON bodies, or the binary form for those who ask.
 
 Errors of use are answered with 418 and their text, unknown names with 404, a rename to a taken name with
 409, writes to a secondary source with 405, bad arguments with 400.
@@ -20,6 +20,11 @@ from urllib.request import Request, urlopen
 import pandas as pd
 
 from ..api import Descriptor, TimeSeries
+from . import wire
+
+
+#: The content type of the binary form (wire), which a client may ask for instead of JSON.
+BINARY = "application/vnd.apache.arrow.stream"
 
 
 def pack(s: pd.Series) -> dict[str, Any]:
@@ -61,9 +66,9 @@ class _Handler(BaseHTTPRequestHandler):
         """Nothing is printed for a request."""
 
     def _answer(self, status: int, body: Any) -> None:
-        raw = b"" if status == 204 else json.dumps(body).encode()
+        raw = body if isinstance(body, bytes) else b"" if status == 204 else json.dumps(body).encode()
         self.send_response(status)
-        self.send_header("Content-Type", "application/json")
+        self.send_header("Content-Type", BINARY if isinstance(body, bytes) else "application/json")
         self.send_header("Content-Length", str(len(raw)))
         self.end_headers()
         self.wfile.write(raw)
@@ -87,6 +92,9 @@ class _Handler(BaseHTTPRequestHandler):
 
     do_GET = do_PUT = do_PATCH = do_DELETE = _run
 
+    def _binary(self) -> bool:
+        return BINARY in (self.headers.get("Accept") or "")
+
     def _known(self, a: dict[str, Any]) -> str:
         if not self.tsa.exists(a["name"]):
             raise _Failure(404, f"{a['name']} does not exist")
@@ -128,7 +136,8 @@ class _Handler(BaseHTTPRequestHandler):
 
     def get_series_state(self, a: dict[str, Any]) -> tuple[int, Any]:
         name = self._known(a)
-        return 200, pack(self.tsa.get(name, **self._bounds(a, "revision_date", "from_value_date", "to_value_date"), _keep_nans=a.get("_keep_nans") == "1"))
+        out = self.tsa.get(name, **self._bounds(a, "revision_date", "from_value_date", "to_value_date"), _keep_nans=a.get("_keep_nans") == "1")
+        return 200, wire.pack_series(out) if self._binary() else pack(out)
 
     def put_series_state(self, a: dict[str, Any]) -> tuple[int, Any]:
         return 204, self.tsa.rename(self._known(a), a["newname"])
@@ -145,7 +154,8 @@ class _Handler(BaseHTTPRequestHandler):
 
     def get_series_history(self, a: dict[str, Any]) -> tuple[int, Any]:
         bounds = self._bounds(a, "from_insertion_date", "to_insertion_date", "from_value_date", "to_value_date")
-        return 200, _history(self.tsa.history(self._known(a), **bounds, diffmode=a.get("diffmode") == "1", _keep_nans=a.get("_keep_nans") == "1"))
+        out = self.tsa.history(self._known(a), **bounds, diffmode=a.get("diffmode") == "1", _keep_nans=a.get("_keep_nans") == "1")
+        return 200, wire.pack_history(out) if self._binary() else _history(out)
 
     def get_series_staircase(self, a: dict[str, Any]) -> tuple[int, Any]:
         return 200, pack(self.tsa.staircase(self._known(a), timedelta(seconds=float(a["delta"])), **self._bounds(a, "from_value_date", "to_value_date")))
@@ -188,7 +198,8 @@ class _Handler(BaseHTTPRequestHandler):
         return 200 if there else 201, None
 
     def get_group_state(self, a: dict[str, Any]) -> tuple[int, Any]:
-        return 200, _frame(self.tsa.group_get(self._group(a), **self._bounds(a, "revision_date", "from_value_date", "to_value_date")))
+        out = self.tsa.group_get(self._group(a), **self._bounds(a, "revision_date", "from_value_date", "to_value_date"))
+        return 200, wire.pack_group(out) if self._binary() else _frame(out)
 
     def put_group_state(self, a: dict[str, Any]) -> tuple[int, Any]:
         return 204, self.tsa.group_rename(self._group(a), a["newname"])
@@ -201,7 +212,7 @@ class _Handler(BaseHTTPRequestHandler):
 
     def get_group_history(self, a: dict[str, Any]) -> tuple[int, Any]:
         h = self.tsa.group_history(self._group(a), **self._bounds(a, "from_insertion_date", "to_insertion_date", "from_value_date", "to_value_date"))
-        return 200, {k.isoformat(): _frame(v) for k, v in h.items()}
+        return 200, wire.pack_group_history(h) if self._binary() else {k.isoformat(): _frame(v) for k, v in h.items()}
 
     def get_group_catalog(self, a: dict[str, Any]) -> tuple[int, Any]:
         return 200, [[*k, v] for k, v in self.tsa.group_catalog().items()]
@@ -224,9 +235,11 @@ def serve(tsa: TimeSeries, host: str = "127.0.0.1", port: int = 0) -> ThreadingH
 class Client:
     """The methods of TimeSeries, answered by a server. It may be a secondary source of a TimeSeries."""
 
-    def __init__(self, uri: str, auth: dict[str, str] | None = None) -> None:
-        """auth: login and password, or token."""
+    def __init__(self, uri: str, auth: dict[str, str] | None = None, binary: bool = True) -> None:
+        """auth: login and password, or token. binary: asks for the binary form of series, histories and groups."""
         self.uri, self._headers = uri.rstrip("/"), {"Content-Type": "application/json"}
+        if binary:
+            self._headers["Accept"] = f"{BINARY}, application/json"
         if auth and "token" in auth:
             self._headers["Authorization"] = f"Bearer {auth['token']}"
         elif auth:
@@ -243,7 +256,9 @@ class Client:
             body = json.dumps(args).encode()
         try:
             with urlopen(Request(url, body, self._headers, method=verb), timeout=600) as r:
-                return None if r.status == 204 else json.loads(r.read())
+                if r.status == 204:
+                    return None
+                return r.read() if r.headers.get("Content-Type") == BINARY else json.loads(r.read())
         except HTTPError as e:
             text = json.loads(e.read())
             if e.code == 404 and text != "no such route":
@@ -281,11 +296,13 @@ class Client:
     def get(self, name: str, revision_date: datetime | None = None, from_value_date: datetime | None = None, to_value_date: datetime | None = None, _keep_nans: bool = False) -> pd.Series | None:
         """As TimeSeries.get."""
         out = self._call("GET", "series/state", name=name, revision_date=revision_date, from_value_date=from_value_date, to_value_date=to_value_date, _keep_nans=_keep_nans)
-        return None if out is None else unpack(out, name)
+        return None if out is None else wire.unpack_series(out)[1].rename(name) if isinstance(out, bytes) else unpack(out, name)
 
     def history(self, name: str, from_insertion_date: datetime | None = None, to_insertion_date: datetime | None = None, from_value_date: datetime | None = None, to_value_date: datetime | None = None, diffmode: bool = False, _keep_nans: bool = False) -> dict[pd.Timestamp, pd.Series] | None:
         """As TimeSeries.history."""
         out = self._call("GET", "series/history", name=name, from_insertion_date=from_insertion_date, to_insertion_date=to_insertion_date, from_value_date=from_value_date, to_value_date=to_value_date, diffmode=diffmode, _keep_nans=_keep_nans)
+        if isinstance(out, bytes):
+            return wire.unpack_history(out)[1]
         return None if out is None else {pd.Timestamp(k): unpack(v, name) for k, v in out.items()}
 
     def staircase(self, name: str, delta: timedelta, from_value_date: datetime | None = None, to_value_date: datetime | None = None) -> pd.Series | None:
@@ -415,6 +432,8 @@ class Client:
     def group_get(self, name: str, revision_date: datetime | None = None, from_value_date: datetime | None = None, to_value_date: datetime | None = None) -> pd.DataFrame | None:
         """As TimeSeries.group_get."""
         out = self._call("GET", "group/state", name=name, revision_date=revision_date, from_value_date=from_value_date, to_value_date=to_value_date)
+        if isinstance(out, bytes):
+            return wire.unpack_group(out)
         return None if out is None else pd.DataFrame({c: unpack(s) for c, s in out.items()})
 
     def group_insertion_dates(self, name: str, from_insertion_date: datetime | None = None, to_insertion_date: datetime | None = None) -> list[pd.Timestamp]:
@@ -424,6 +443,8 @@ class Client:
     def group_history(self, name: str, from_insertion_date: datetime | None = None, to_insertion_date: datetime | None = None, from_value_date: datetime | None = None, to_value_date: datetime | None = None) -> dict[pd.Timestamp, pd.DataFrame] | None:
         """As TimeSeries.group_history."""
         out = self._call("GET", "group/history", name=name, from_insertion_date=from_insertion_date, to_insertion_date=to_insertion_date, from_value_date=from_value_date, to_value_date=to_value_date)
+        if isinstance(out, bytes):
+            return wire.unpack_group_history(out)
         return None if out is None else {pd.Timestamp(k): pd.DataFrame({c: unpack(s) for c, s in v.items()}) for k, v in out.items()}
 
     def group_rename(self, old: str, new: str) -> None:

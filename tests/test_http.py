@@ -4,19 +4,43 @@ import pandas as pd
 import pytest
 
 from chronostrata.api import TimeSeries
+from chronostrata.sources import wire
 from chronostrata.sources.http import Client, open_store, pack, serve, unpack
 
 from .test_api import D, nan, plain, series
 
 
-@pytest.fixture(scope="module")
-def pair(spark, tmp_path_factory):
+@pytest.fixture(scope="module", params=["binary", "json"])
+def pair(spark, tmp_path_factory, request):
     tsa = TimeSeries(spark, str(tmp_path_factory.mktemp("http")))
     server = serve(tsa)
-    yield tsa, open_store(spark, f"http://127.0.0.1:{server.server_address[1]}")
+    uri = f"http://127.0.0.1:{server.server_address[1]}"
+    yield tsa, open_store(spark, uri) if request.param == "binary" else Client(uri, binary=False)
     server.shutdown()
 
 
+def test_binary_forms():
+    same = lambda a, b: pd.testing.assert_series_equal(a, b, check_freq=False, check_index_type=False)
+    some = [series([1.0, nan, float("inf")]).rename("a"), series(["x", None], tz=None).rename("b"), series([]).astype(float).rename("c"), series([2.0], tz="Europe/Paris").rename("d")]
+    for s in some:
+        meta, back = wire.unpack_series(wire.pack_series(s, {"k": 1}))
+        assert meta == {"k": 1}
+        same(back, s.tz_convert("UTC") if s.index.tz is not None else s)
+    assert [m for m, _ in wire.unpack_many_series(wire.pack_many_series([({"n": i}, s) for i, s in enumerate(some)]))] == [{"n": i} for i in range(4)]
+    history = {pd.Timestamp(D(1)): some[0], pd.Timestamp(D(2)): some[2]}
+    meta, back = wire.unpack_history(wire.pack_history(history))
+    assert list(back) == list(history) and meta == {}
+    for d in history:
+        same(back[d], history[d])
+    assert wire.unpack_history(wire.pack_history({})) == ({}, {}) and wire.unpack_many_series(wire.pack_many_series([])) == []
+    frame = pd.DataFrame({"n": [1.0, nan], "t": ["a", None]}, index=pd.date_range("2024-01-01", periods=2, tz="UTC"))
+    pd.testing.assert_frame_equal(wire.unpack_group(wire.pack_group(frame)), frame, check_freq=False, check_index_type=False)
+    got = wire.unpack_group_history(wire.pack_group_history({pd.Timestamp(D(1)): frame, pd.Timestamp(D(3)): frame[:0]}))
+    assert [len(x) for x in got.values()] == [2, 0] and list(got[pd.Timestamp(D(3))].columns) == ["n", "t"]
+    with pytest.raises(ValueError):
+        wire.unpack_group(wire.pack_series(some[0]))
+
+
 def test_pack():
     for s in (series([1.0, nan, float("inf")]), series(["a", None], tz=None), series([]).astype(float)):
         back = unpack(pack(s))
