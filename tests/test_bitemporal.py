@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronostrata.functions.schedule import schedule
 from chronostrata.plans import bitemporal as B
@@ -164,3 +165,31 @@ def test_bounds_reach_the_scan(spark, tmp_path):
     df = B.state_asof(spark.read.parquet(str(tmp_path / "log")), T0 + 3 * DAY, T0, T0 + DAY)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(insertion_date" in plan and "GreaterThanOrEqual(value_date" in plan
+
+
+def test_changes_of_a_long_series_in_parts(spark, monkeypatch):
+    """Parts of a series are told from later ones, also where no revision of theirs is selected."""
+    rng = random.Random(3)
+    rows, revs = [], []
+    for rev in range(1, 60):
+        day = T0 + timedelta(hours=rev)
+        for v in rng.sample(range(12), 3):
+            op = rng.choice(["set", "set", "erase", "drop"])
+            rows.append((1, rev, day, T0 + timedelta(days=v), op, float(rng.randrange(3)) if op == "set" else None, None))
+        revs.append((1, rev, day, "me", "{}", T0, T0 + timedelta(days=12)))
+    log, revisions = spark.createDataFrame(rows, B.LOG), spark.createDataFrame(revs, B.REVISIONS)
+    chosen = F.col("rev").isin([5, 6, 23, 24, 50])
+    for bounds in ({}, {"from_insertion": T0 + timedelta(hours=7), "to_insertion": T0 + timedelta(hours=41)}):
+        want = None
+        for part in (4096, 7, 1):
+            monkeypatch.setattr(B, "REVS", part)
+            got = sorted(map(str, B.history_diff(log, revisions, **bounds, include_drops=True).collect()))
+            want = want or got
+            assert got == want and len(got) > 50
+    state = {}
+    for part in (4096, 9):
+        monkeypatch.setattr(B, "REVS", part)
+        got = B.history_diff(log, revisions.where(chosen), include_drops=True).collect()
+        state[part] = sorted(map(str, got))
+        assert {r["rev"] for r in got} <= {5, 6, 23, 24, 50}
+    assert state[4096] == state[9] and state[9]

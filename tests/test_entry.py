@@ -41,6 +41,12 @@ def test_every_core_query_has_sql():
     assert set(core.QUERIES) == set(core.SQL)
 
 
+@pytest.mark.parametrize("name", sorted(core.QUERIES))
+def test_no_core_plan_compares_all_pairs(spark, sf, name):
+    plan = core.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
