@@ -37,9 +37,9 @@ from .common import slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Parts of words whose ids a worker remembers (more only if a slice of texts has more), and characters up to which many are encoded together.
-KEPT, LONGEST = 120_000, 48
+KEPT, LONGEST = 400_000, 48
 #: Characters of the automaton for many parts; pairs that are remembered.
-DENSE, PAIRS = 191, 1 << 20
+DENSE, PAIRS = 191, 1 << 22
 #: Characters that may be split off words, if the model allows it.
 OFTEN = "\n\t.,;:!?|*#$%&\"()[]{}<>=+~^/\\"
 
@@ -271,7 +271,7 @@ class Codec:
                     if a == limit:
                         ok = True
                         break
-        if len(self.ok) > 50_000:
+        if len(self.ok) > 300_000:
             self.ok.clear()
         self.ok[key] = ok
         return ok
