@@ -106,7 +106,7 @@ class Chunk:
     def __init__(self, x: np.ndarray, ids: np.ndarray, row: np.ndarray, codes: np.ndarray, of: np.ndarray, centres: np.ndarray, books: np.ndarray) -> None:
         decoded = np.concatenate([b[codes[:, j]] for j, b in enumerate(books)], 1)[:, : x.shape[1]]
         e2 = ((x - centres[of] - decoded) ** 2).sum(axis=1)
-        order = np.lexsort((e2, of))
+        self.order = order = np.lexsort((e2, of))
         x, decoded, of = x[order], decoded[order], of[order]
         self.x, self.x32, self.ids, self.row, self.of, self.centres, self.books, self.e2 = x, x.astype(np.float32), ids[order], row[order], of, centres, books, e2[order]
         # what a vector adds to the squared distance of any query, and the deviation of its neighbours' distances
@@ -305,20 +305,21 @@ def _neighbours(usable: DataFrame, n: int, k: int, recall: float) -> DataFrame:
             chunk = at[group] + row % width[group]
             yield pa.RecordBatch.from_arrays([pa.array(chunk.astype(np.int32)), batch.column(0), batch.column(1), pa.array(near.astype(np.int32)), pa.array([r.tobytes() for r in v], pa.binary()), pa.array([r.tobytes() for r in codes], pa.binary())], ["chunk", "id", "row", "list", "x", "code"])
 
-    def members(table: pa.Table) -> Chunk:
+    def members(table: pa.Table) -> tuple[Chunk, np.ndarray]:
         centres, books, groups, at, _ = model.value
         mine = np.sort(groups[int(np.searchsorted(at, table.column("chunk")[0].as_py(), "right")) - 1])
-        x = unit(np.frombuffer(b"".join(table.column("x").to_pylist()), kind).reshape(len(table), -1).astype(np.float64))
+        v = np.frombuffer(b"".join(table.column("x").to_pylist()), kind).reshape(len(table), -1)
         codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(table), -1)
-        return Chunk(x, table.column("id").to_numpy(), table.column("row").to_numpy(), codes, np.searchsorted(mine, table.column("list").to_numpy()), centres[mine], books)
+        part = Chunk(unit(v.astype(np.float64)), table.column("id").to_numpy(), table.column("row").to_numpy(), codes, np.searchsorted(mine, table.column("list").to_numpy()), centres[mine], books)
+        return part, v[part.order]
 
     def at_home(table: pa.Table) -> pa.Table:
-        part = members(table)
+        part, v = members(table)
         out = []
         for lo in range(0, len(part.x), TILE):
             cut = slice(lo, lo + TILE)
             s, i = part.search_all(part.x[cut], part.row[cut], k)
-            out.append((part.ids[cut].tobytes(), part.row[cut].tobytes(), s.tobytes(), i.tobytes(), part.x[cut].tobytes(), table.column("chunk")[0].as_py()))
+            out.append((part.ids[cut].tobytes(), part.row[cut].tobytes(), s.tobytes(), i.tobytes(), v[cut].tobytes(), table.column("chunk")[0].as_py()))
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), home)], schema=home)
 
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,23 +327,23 @@ def _neighbours(usable: DataFrame, n: int, k: int, recall: float) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 row, ids = np.frombuffer(r["rows"], np.int64), np.frombuffer(r["ids"], np.int64)
-                x, edge = np.frombuffer(r["xs"]).reshape(len(row), -1), np.frombuffer(r["score"]).reshape(len(row), -1)[:, -1]
-                probed, salt = probe(x, centres), row % salts
+                v, edge = np.frombuffer(r["xs"], kind).reshape(len(row), -1), np.frombuffer(r["score"]).reshape(len(row), -1)[:, -1]
+                probed, salt = probe(unit(v.astype(np.float64)), centres), row % salts
                 for c, g in enumerate(groups):
                     goes = probed[:, g].any(axis=1)
                     for sa in range(salts):
                         on = np.flatnonzero(goes & (salt == sa))
                         for chunk in range(at[c], at[c + 1]) if len(on) else ():
                             if chunk != r["chunk"]:
-                                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([sa], pa.int32()), *(pa.array([y[on].tobytes()]) for y in (ids, row, edge, x))], ["chunk", "salt", "ids", "rows", "edge", "xs"])
+                                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([sa], pa.int32()), *(pa.array([y[on].tobytes()]) for y in (ids, row, edge, v))], ["chunk", "salt", "ids", "rows", "edge", "xs"])
 
     def abroad(queries: pa.Table, table: pa.Table) -> pa.Table:
         if not len(queries) or not len(table):
             return found.empty_table()
         join = lambda name, kind: np.concatenate([np.frombuffer(b, kind) for b in queries.column(name).to_pylist()])
         ids, row, edge = join("ids", np.int64), join("rows", np.int64), join("edge", np.float64)
-        q = join("xs", np.float64).reshape(len(ids), -1)
-        part = members(table)
+        q = unit(join("xs", kind).reshape(len(ids), -1).astype(np.float64))
+        part, _ = members(table)
         centres, _, groups, at, _ = model.value
         mine = np.sort(groups[int(np.searchsorted(at, table.column("chunk")[0].as_py(), "right")) - 1])
         probed = np.concatenate([probe(q[lo : lo + TILE], centres)[:, mine] for lo in range(0, len(q), TILE)])
