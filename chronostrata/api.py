@@ -8,6 +8,7 @@ series of which nothing is visible gives an empty series, and {} as history.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta, timezone
 from typing import Any
 
@@ -434,13 +435,19 @@ class TimeSeries:
     def find(self, query: str, limit: int | None = None, meta: bool = False) -> list[Descriptor]:
         """Series of all sources that match a query, by name; the limit is each source's. A source that fails is left out."""
         tree = S.parse(query)
-        out = self._find("local", tree, limit, meta)
-        for source, s in self.secondaries.items():
+
+        def ask(source: str, s: TimeSeries) -> list[Descriptor]:
             try:
-                out += s._find(source, tree, limit, meta)
+                return s._find(source, tree, limit, meta)
             except Exception as e:  # noqa: BLE001  an unreachable source doesn't keep the others from answering
                 print(f"source {source}: {e}")
-        return sorted(out)
+                return []
+
+        # all at the same time
+        with ThreadPoolExecutor(1 + len(self.secondaries)) as pool:
+            others = [pool.submit(ask, source, s) for source, s in self.secondaries.items()]
+            out = self._find("local", tree, limit, meta)
+            return sorted([*out, *(x for f in others for x in f.result())])
 
     def _find(self, source: str, tree: S.Query, limit: int | None, meta: bool) -> list[Descriptor]:
         mine = S.for_source(source, tree)
