@@ -1,19 +1,20 @@
 """Approximate nearest neighbours: inverted file with product-quantised residuals and exact reranking.
 
-Unit vectors are assigned to the nearest of about sqrt(n) / 4 coarse centroids. Their residuals are cut
-into SUBSPACES parts, each coded by the nearest of CODES codewords. Centroids and codewords are fitted by
-Lloyd's algorithm over all vectors: each round adds up partial sums on the cluster, and only the sums come
-to the driver. Every row is a query and probes its nearest lists, as many as RECALL asks for: for
-queries sampled in proportion to the square root of n (256 at least), exact neighbours among all vectors are
-found, and the lists that hold them are ranked.
+Unit vectors are assigned to the nearest of about sqrt(n) / 4 coarse centroids. Their residuals are cut into
+SUBSPACES parts, each coded by the nearest of CODES codewords. Centroids and codewords are fitted by Lloyd's
+algorithm over all vectors: each round adds up partial sums on the cluster, and only the sums come to the
+driver. Every row is a query and probes its nearest lists, as many as RECALL asks for: for queries sampled in
+proportion to the square root of n (256 at least), exact neighbours among all vectors are found, and the lists
+that hold them are ranked.
 
 Lists that are near each other form a chunk of about BLOCK vectors. First each vector searches its own chunk.
-Then it goes, with the k-th cosine that it has found, once to each other chunk that has a list it probes. Asymmetric distances are added up from
-tables of the query and the codewords, and all vectors that may be as near as the k-th are reranked by
-exact cosines. With a residual's quantisation error e, a neighbour at distance r has a squared asymmetric
-distance of r**2 + e**2 + 2 * r * e * cos, and cos, the cosine between two directions in d dimensions that
-know nothing of each other, has a deviation of 1 / sqrt(d): SIGMAS of it are allowed for. However long or
-dense a list is, no number of candidates is set. The chunks' results of a query are merged at last.
+Then it goes, with the k-th cosine that it has found, once to each other chunk that has a list it probes.
+Asymmetric distances are added up from tables of the query and the codewords, and all vectors that may be as
+near as the k-th are reranked by exact cosines. With a residual's quantisation error e, a neighbour at distance
+r has a squared asymmetric distance of r**2 + e**2 + 2 * r * e * cos, and cos, the cosine between two directions
+in d dimensions that know nothing of each other, has a deviation of 1 / sqrt(d): SIGMAS of it are allowed for.
+However long or dense a list is, no number of candidates is set. The chunks' results of a query are merged at
+last.
 
 Rounding, ties, ids, rows that are left out and a row being no neighbour of itself: as in exact search (topk).
 """

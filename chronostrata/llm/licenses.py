@@ -1,21 +1,21 @@
 """Licences of texts: TF-IDF cosine to templates, and inheritance from the nearest ancestor directory.
 
 Headers are compared as a whole: the lines of a text that have a cue such as "licen" or "copyright", its
-paragraphs (up to an empty line, without the marks of comments, so that wrapped lines are one) that have a
-word of a template which isn't a common one, and the whole text of a licence file. Each becomes a sparse
-vector of its words, TF weighted by the words' IDF over all lines with a cue of the corpus and the templates;
-words that no template has count as never seen, with the highest IDF. Its licence is the template of the highest cosine, if that is CUT at least
-(ties: the first by name); of a text, the best of its headers. All rights being reserved (GENERIC) counts
-only where nothing else is found, as free licences begin with it too. Licence files (LICENSE, COPYING, NOTICE and the
-like) give their licence to their directory; a row without one of its own inherits from
+paragraphs (up to an empty line, without the marks of comments, so that wrapped lines are one) that have a word
+of a template which isn't a common one, and the whole text of a licence file. Each becomes a sparse vector of
+its words, TF weighted by the words' IDF over all lines with a cue of the corpus and the templates; words that
+no template has count as never seen, with the highest IDF. Its licence is the template of the highest cosine, if
+that is CUT at least (ties: the first by name); of a text, the best of its headers. All rights being reserved
+(GENERIC) counts only where nothing else is found, as free licences begin with it too. Licence files (LICENSE,
+COPYING, NOTICE and the like) give their licence to their directory; a row without one of its own inherits from
 the nearest ancestor directory that has one, found by joining the ancestors of the rows' directories to those.
 
-Vectors hold the words of the templates alone, and the squares of what the others add to the length, so
-that they are made where the texts are read, and no word is ever shuffled. A paragraph whose cosine can't
-reach CUT, whatever the IDF, is left out there.
+Vectors hold the words of the templates alone, and the squares of what the others add to the length, so that
+they are made where the texts are read, and no word is ever shuffled. A paragraph whose cosine can't reach CUT,
+whatever the IDF, is left out there.
 
-Null and empty texts have no headers and may inherit; a row without a path has no ancestors, an empty path
-is the root. Several licence files in one directory: the best counts as among headers, then the first by name.
+Null and empty texts have no headers and may inherit; a row without a path has no ancestors, an empty path is
+the root. Several licence files in one directory: the best counts as among headers, then the first by name.
 Repeated rows give repeated results. Extra columns are ignored.
 """
 

@@ -1,23 +1,22 @@
 """Mixing sources to target weights by temperature, realised as budgeted block permutations.
 
-A source's share p of all tokens is raised to an exponent a and normalised: w ~ p**a. The smallest a from
-0 to 1, in steps of one millionth, that meets the targets is found by bisection, five halvings in each pass
-over the table of sources, which may be as many as domains: no source may be repeated
-more than `max_repeat` times as often as the least repeated one, and the entropy of the weights may be at
-most `max_entropy` of that of equal weights. The budget is the least in which every source is passed over
-once at least; a source's quota is its weight of it.
-
-A source is drawn in passes (epochs), each a permutation of its documents by a hash of seed, epoch and id;
-the last pass ends with the document that reaches the quota. The sequence is cut into blocks of equal
-budget that hold all sources in their weights. A document's block follows from the tokens of its source
-that come before its cell, cells being 256 equal ranges of the hash: counts by (source, epoch, cell) decide,
-so that no source is ever sorted in one place. In a block, rows go by the second half of the hash, which
-knows nothing of cells; a block is as many partitions as its size asks for.
-
-Tokens are runs of characters other than white space. A null source is a source of its own; null and
-empty texts have no tokens and cost nothing. A source without tokens has weight 0 and is passed over once.
-Rows of one id, and rows without an id, tie and are taken together. Extra columns are ignored (draw) or
-kept (mix).
+A source's share p of all tokens is raised to an exponent a and normalised: w ~ p**a. The smallest a from 0 to
+1, in steps of one millionth, that meets the targets is found by bisection, five halvings in each pass over the
+table of sources, which may be as many as domains: no source may be repeated more than `max_repeat` times as
+often as the least repeated one, and the entropy of the weights may be at most `max_entropy` of that of equal
+weights. The budget is the least in which every source is passed over once at least; a source's quota is its
+weight of it.
+
+A source is drawn in passes (epochs), each a permutation of its documents by a hash of seed, epoch and id; the
+last pass ends with the document that reaches the quota. The sequence is cut into blocks of equal budget that
+hold all sources in their weights. A document's block follows from the tokens of its source that come before its
+cell, cells being 256 equal ranges of the hash: counts by (source, epoch, cell) decide, so that no source is
+ever sorted in one place. In a block, rows go by the second half of the hash, which knows nothing of cells; a
+block is as many partitions as its size asks for.
+
+Tokens are runs of characters other than white space. A null source is a source of its own; null and empty texts
+have no tokens and cost nothing. A source without tokens has weight 0 and is passed over once. Rows of one id,
+and rows without an id, tie and are taken together. Extra columns are ignored (draw) or kept (mix).
 """
 
 from __future__ import annotations

@@ -1,14 +1,15 @@
 """Personal data by anchor expansion.
 
-One pass of an Aho-Corasick automaton finds anchors: at-signs, schemes, plus signs, digits, double colons
-and cues that name an identifier or a street. At each anchor a deterministic parser expands to both sides
-and validates what it finds: e-mail addresses, network and street addresses, telephone, card, bank and
-other account numbers; sixteen digits are an account number without a check digit, but for moments of a log. A cue holds up to the end of its sentence or paragraph: what follows it with a digit
-is parsed as an identifier of its kind. Findings don't overlap; the one that begins first wins.
-
-Null and empty texts have no findings. Whole texts are read. Rows without an id are left out of
-find_pii(), redact() treats them like others. Repeated rows give repeated findings. Extra columns are
-ignored (find_pii) or kept (redact).
+One pass of an Aho-Corasick automaton finds anchors: at-signs, schemes, plus signs, digits, double colons and
+cues that name an identifier or a street. At each anchor a deterministic parser expands to both sides and
+validates what it finds: e-mail addresses, network and street addresses, telephone, card, bank and other account
+numbers; sixteen digits are an account number without a check digit, but for moments of a log. A cue holds up to
+the end of its sentence or paragraph: what follows it with a digit is parsed as an identifier of its kind.
+Findings don't overlap; the one that begins first wins.
+
+Null and empty texts have no findings. Whole texts are read. Rows without an id are left out of find_pii(),
+redact() treats them like others. Repeated rows give repeated findings. Extra columns are ignored (find_pii) or
+kept (redact).
 """
 
 from __future__ import annotations

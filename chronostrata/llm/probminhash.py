@@ -1,30 +1,31 @@
 """Near duplicates by ProbMinHash, banding and exact verification.
 
-The similarity of two documents is the probability Jaccard index of their weighted shingles (runs of
-three words, weighted by how often they occur):
+The similarity of two documents is the probability Jaccard index of their weighted shingles (runs of three
+words, weighted by how often they occur):
 
     J_P(x, y) = sum over d in both of 1 / sum over d' of max(x_d'/x_d, y_d'/y_d)
 
-A document's sketch has M registers. Each element sends a Poisson process of arrivals, at a rate of its
-weight, to registers drawn at random; a register keeps the element that came first. Two sketches agree in
-a register with probability J_P. An element ends as soon as its next arrival comes after the latest
-register, so that a document costs about (elements + M log M) steps and not their product.
+A document's sketch has M registers. Each element sends a Poisson process of arrivals, at a rate of its weight,
+to registers drawn at random; a register keeps the element that came first. Two sketches agree in a register
+with probability J_P. An element ends as soon as its next arrival comes after the latest register, so that a
+document costs about (elements + M log M) steps and not their product.
 
-Sketches are cut into bands, texts that agree in a band meet in a bucket, and in each bucket the
-similarity is computed exactly, from whole texts. Linked texts form groups (connected components).
+Sketches are cut into bands, texts that agree in a band meet in a bucket, and in each bucket the similarity is
+computed exactly, from whole texts. Linked texts form groups (connected components).
 
 A text of a bucket is compared with the first of each group found so far in it; in buckets of more than FEW
-texts, pairs that are still in different groups are then told by a bound first: J_P is at most the sum of the smaller shares of the shingles that both have, which
-matrices of the shared shingles give for all pairs at once. A bucket of more than BLOCK texts is cut into
-blocks, each a task of its own that has PIVOTS texts of the bucket too, so that copies in different
-blocks come together. What is then not in the bucket's largest group is compared with all its blocks, in a grid of tasks. So a bucket of
-n copies costs about n comparisons, one of unlike texts n squared of the bound, spread over n / BLOCK squared tasks.
-
-What is compared is distinct weighted shingles, numbered here: ids may be of any type that has an order, and rows
-of one id with different texts are different documents, rows of one id with the same text one. Null and
-wordless texts have no shingles and belong to no group. Rows without an id can't be named in a
-result and belong to no group. Ties: the smallest id of a group
-represents it, then the smallest hash of a text. Other columns are ignored.
+texts, pairs that are still in different groups are then told by a bound first: J_P is at most the sum of the
+smaller shares of the shingles that both have, which matrices of the shared shingles give for all pairs at once.
+A bucket of more than BLOCK texts is cut into blocks, each a task of its own that has PIVOTS texts of the bucket
+too, so that copies in different blocks come together. What is then not in the bucket's largest group is
+compared with all its blocks, in a grid of tasks. So a bucket of n copies costs about n comparisons, one of
+unlike texts n squared of the bound, spread over n / BLOCK squared tasks.
+
+What is compared is distinct weighted shingles, numbered here: ids may be of any type that has an order, and
+rows of one id with different texts are different documents, rows of one id with the same text one. Null and
+wordless texts have no shingles and belong to no group. Rows without an id can't be named in a result and belong
+to no group. Ties: the smallest id of a group represents it, then the smallest hash of a text. Other columns are
+ignored.
 """
 
 from __future__ import annotations

@@ -2,23 +2,23 @@
 
 Candidates are values that are assigned to a name such as token or api_key, and keys of known shape. Each
 distinct value is counted over the whole corpus, whatever pattern found it: in how many repositories, and for
-how many owners, it occurs. A value that several owners have was copied from an example; one that a single
-owner has, and that looks like a live credential, is theirs:
+how many owners, it occurs. A value that several owners have was copied from an example; one that a single owner
+has, and that looks like a live credential, is theirs:
 
     example    COPIED or more owners, or a placeholder (a word such as example, or few distinct characters)
     shared     2 up to COPIED - 1 owners
     live       one owner
 
-The owner of a row is its owner column, here the document's source; a repository is the owner's part that
-the repository column names, here its language. Counting first by (value, owner, repository) keeps a value
-that is copied everywhere from meeting in one task row by row. Values are hashed where they are found: no
-exchange carries them in clear.
+The owner of a row is its owner column, here the document's source; a repository is the owner's part that the
+repository column names, here its language. Counting first by (value, owner, repository) keeps a value that is
+copied everywhere from meeting in one task row by row. Values are hashed where they are found: no exchange
+carries them in clear.
 
-A value that several patterns find has the kind of the first of KINDS, and a place that two of them find
-counts once. Null and empty texts have no candidates. A null owner or repository counts as one of its own. A
-value that occurs repeatedly in one document is one row with its number of occurrences; repeated rows add up.
-Rows without an id are kept, with a null id. Values are taken whole, however long; they appear as SHA-256
-hashes only. Extra columns are ignored.
+A value that several patterns find has the kind of the first of KINDS, and a place that two of them find counts
+once. Null and empty texts have no candidates. A null owner or repository counts as one of its own. A value that
+occurs repeatedly in one document is one row with its number of occurrences; repeated rows add up. Rows without
+an id are kept, with a null id. Values are taken whole, however long; they appear as SHA-256 hashes only. Extra
+columns are ignored.
 """
 
 from __future__ import annotations

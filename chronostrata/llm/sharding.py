@@ -1,19 +1,21 @@
 """Sharding by minimax contiguous partition.
 
-Rows are grouped by a key into atoms that no shard may split; the atoms, in the order of their keys, are
-cut into at most `shards` runs so that the largest run is as small as can be. The least capacity is found
-by binary search, each capacity being checked greedily: a run takes atoms for as long as they fit.
-
-Prefix sums are computed on the cluster, range by range, and written in order. The search sees them through cells: what is known of a cell of prefix sums is its first and its last one. Greedy runs
-that end with the last prefix sum known to be in reach need too many shards, if anything; those that end as
-far as they might need too few. Capacities on which both agree are decided. The others, and the spans in
-which cuts of theirs may lie, are looked at again through cells of those spans alone, until there is nothing
-between them. With k shards and cells of width w the spans are about k * k * w wide; a round has
-CELLS * k * k cells, whatever the number of atoms, so that each makes the spans about CELLS times narrower.
-One task has the cells of a round; the driver gets two numbers a shard, and a row for each range.
-
-Null keys form one atom, before all others. Rows of one key are one atom; null and negative values have size
-0, fractions are cut off. Fewer atoms than shards: the others stay empty. An empty table has no shards. Extra columns are ignored.
+Rows are grouped by a key into atoms that no shard may split; the atoms, in the order of their keys, are cut
+into at most `shards` runs so that the largest run is as small as can be. The least capacity is found by binary
+search, each capacity being checked greedily: a run takes atoms for as long as they fit.
+
+Prefix sums are computed on the cluster, range by range, and written in order. The search sees them through
+cells: what is known of a cell of prefix sums is its first and its last one. Greedy runs that end with the last
+prefix sum known to be in reach need too many shards, if anything; those that end as far as they might need too
+few. Capacities on which both agree are decided. The others, and the spans in which cuts of theirs may lie, are
+looked at again through cells of those spans alone, until there is nothing between them. With k shards and cells
+of width w the spans are about k * k * w wide; a round has CELLS * k * k cells, whatever the number of atoms, so
+that each makes the spans about CELLS times narrower. One task has the cells of a round; the driver gets two
+numbers a shard, and a row for each range.
+
+Null keys form one atom, before all others. Rows of one key are one atom; null and negative values have size 0,
+fractions are cut off. Fewer atoms than shards: the others stay empty. An empty table has no shards. Extra
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -1,15 +1,15 @@
 """Toxicity: logistic regression by FTRL-proximal over hashed word n-grams and skip-grams.
 
-Features are the distinct words, pairs of neighbouring words and pairs of words with one between them of
-the lower-cased text, hashed to 2**BITS buckets. FTRL-proximal keeps a learning rate for each coordinate
-and its L1 term leaves most weights at exactly zero, so that the weights that are broadcast are few.
+Features are the distinct words, pairs of neighbouring words and pairs of words with one between them of the
+lower-cased text, hashed to 2**BITS buckets. FTRL-proximal keeps a learning rate for each coordinate and its L1
+term leaves most weights at exactly zero, so that the weights that are broadcast are few.
 
 The classifier is fitted on at most SAMPLE labelled documents of the table, those with the smallest hash of
-their id; every document is scored, over its whole text. The cut is chosen on a held-out part of the sample.
-Ids may be of any type; those of labels are taken as of the documents' type, and not used where they aren't. Nulls: labels without an id, a label or a document aren't used, and of several labels
-of one document the largest counts, of several texts of one id the first by its features; null and wordless
-texts score as the bias alone. Without labels nothing is toxic. Extra columns are ignored (scores) or kept
-(keep_clean).
+their id; every document is scored, over its whole text. The cut is chosen on a held-out part of the sample. Ids
+may be of any type; those of labels are taken as of the documents' type, and not used where they aren't. Nulls:
+labels without an id, a label or a document aren't used, and of several labels of one document the largest
+counts, of several texts of one id the first by its features; null and wordless texts score as the bias alone.
+Without labels nothing is toxic. Extra columns are ignored (scores) or kept (keep_clean).
 """
 
 from __future__ import annotations
