@@ -31,15 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, trim
 
 #: The model; its path is a parameter of every function.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Parts of words whose ids a worker remembers (more only if a slice of texts has more), and characters up to which many are encoded together.
-KEPT, LONGEST = 400_000, 48
+KEPT, LONGEST = 120_000, 48
 #: Characters of the automaton for many parts; pairs that are remembered.
-DENSE, PAIRS = 191, 1 << 22
+DENSE, PAIRS = 191, 1 << 20
 #: Characters that may be split off words, if the model allows it.
 OFTEN = "\n\t.,;:!?|*#$%&\"()[]{}<>=+~^/\\"
 
@@ -271,7 +271,7 @@ class Codec:
                     if a == limit:
                         ok = True
                         break
-        if len(self.ok) > 300_000:
+        if len(self.ok) > 50_000:
             self.ok.clear()
         self.ok[key] = ok
         return ok
@@ -346,6 +346,11 @@ class Codec:
         for p in rest:
             self.parts[p] = np.array(self.table(p), np.int32).tobytes()
 
+    def forget(self) -> None:
+        """Forgets the ids of parts of words: a worker outlives its task, and other stages need the memory."""
+        self.parts.clear()
+        trim()
+
     def encode_all(self, texts: list[str | None]) -> list[bytes | None]:
         """The ids of each text as 32-bit integers; null for null."""
         split = [None if t is None else self.split(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
@@ -418,6 +423,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             flat, ends = ids.values.to_numpy().tolist(), ids.offsets.to_numpy().tolist()
             same = [None if t is None else c.decode(flat[lo:hi]) == t.replace(MARK, " ") for t, lo, hi in zip(texts, ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pc.list_value_length(ids), pa.array(same, pa.bool_())], [id_col, *names])
+        c.forget()
 
     names = ["ids", "n_tokens", "round_trip"]
     if id_col.lower() in names:
