@@ -1,8 +1,11 @@
+import math
+
 import numpy as np
 import pytest
 
 from chronostrata.llm import ann as A
 from chronostrata.llm import topk as T
+from chronostrata.llm.queries import QUERIES
 
 SCHEMA = "vec_id bigint, embedding array<float>, rank int, cosine double"
 
@@ -162,3 +165,53 @@ def test_many_chunks_and_pieces_of_a_long_list(spark, monkeypatch):
     assert got.keys() == want.keys() and all(len(v) == 10 for v in got.values())
     recall = np.mean([len({j for j, _ in got[i]} & {j for j, _ in want[i]}) / 10 for i in want])
     assert recall >= 0.9, recall
+
+
+@pytest.mark.parametrize("block", [None, 170])
+def test_exact_search_of_some_rows_among_all(table, block):
+    got, want = lists(T.top_k(table, block=block, queries=table.vec_id % 7 == 0)), brute(table)
+    assert got.keys() == {i for i in want if i % 7 == 0}
+    for i in got:
+        assert np.allclose([s for _, s in got[i]], [s for _, s in want[i]], atol=2e-6) and [j for j, _ in got[i]] == [j for j, _ in want[i]]
+
+
+def test_the_query_asks_for_every_fiftieth_id(spark, sf):
+    got, want = lists(QUERIES["op6_topk"](spark, sf)), brute(spark.read.parquet(f"{sf}/embeddings.parquet"))
+    assert got.keys() == {i for i in want if i % 50 == 0} and len(got) > 5
+    for i in got:
+        assert np.allclose([s for _, s in got[i]], [s for _, s in want[i]], atol=2e-6)
+
+
+@pytest.mark.parametrize("near", [1e-2, 1e-3, 1e-4, 0.0])
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+def test_single_precision_loses_nothing(near, kind):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 64))
+    for i in range(5):  # groups in which single precision can't tell the order
+        x[i * 1000 : i * 1000 + 60] = x[i] + rng.normal(size=(60, 64)) * near
+    if kind is np.float64:
+        x *= 10.0 ** rng.integers(-200, 200, (6000, 1))
+    x = x.astype(kind)
+    ids, row = rng.permutation(6000) * 3, np.arange(6000)
+    at = np.concatenate([np.arange(0, 6000, 50), np.arange(2000, 2030)])
+    u = T.unit(x.astype(float))
+    want = np.round(u[at] @ u.T, T.DIGITS)
+    want[np.arange(len(at)), at] = -np.inf
+    want_s, want_i = T.best(want, ids[None], 10)
+    found = T.Best(x[at], row[at], 10)
+    for part in np.split(rng.permutation(6000), [5, 1500, 4800]):
+        found.add(x[part], ids[part], row[part])
+    # products of other shapes may differ in the last digit, where rounding is on an edge
+    assert np.allclose(found.score, want_s, atol=1.5e-6) and (found.score == want_s).mean() > 0.999
+    same = (found.score == want_s).all(axis=1)
+    assert (found.ids[same] == want_i[same]).all()
+
+
+def test_the_grid_follows_the_work():
+    assert T.grid(64, 51_282, 1026, 4, None, 6) == (1, 4)
+    blocks, shards = T.grid(64, 15_000_000, 300_000, 4, None, 6)
+    moved = (15_000_000 * blocks + 300_000 * shards) * 64 * 4 + 300_000 * shards * 160
+    assert blocks == 1 and 18 <= shards <= 60 and moved < 12e9
+    blocks, shards = T.grid(64, 15_000_000, 15_000_000, 4, None, 6)
+    assert blocks == 40 and math.ceil(15_000_000 / blocks) * math.ceil(15_000_000 / shards) * 64 <= 1.1 * T.TASK_WORK
+    assert T.grid(3, 1, 1, 8, None, 6) == (1, 1) and T.grid(16, 1500, 30, 4, 170, 4) == (1, 9)
